@@ -49,6 +49,8 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = np.asarray(x, np.uint64)
+    if not x.ndim:
+        return mix(x[None])[0]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -56,7 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeds(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers."""
-    at = np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)
+    at = np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)
     return mix(at * _R) | np.uint64(1)
 
 
