@@ -166,15 +166,25 @@ def _answer(x):
     return {"answer": answer, "matched": matched}
 
 
-plain = F.arrow_udf(_texts(_null(latex.plain), pa.string()), "string")
-normal = F.arrow_udf(_texts(_null(latex.normal), pa.string()), "string")
-core = F.arrow_udf(_texts(_null(lambda x: latex.core(latex.normal(x))), pa.string()), "string")
-boxes = F.arrow_udf(_texts(_null(latex.boxed), pa.list_(pa.string())), "array<string>")
-final_answer = F.arrow_udf(_texts(_answer, _ANSWER), "answer string, matched boolean")
-steps = F.arrow_udf(_texts(extract.steps, pa.list_(pa.string())), "array<string>")
-number = F.arrow_udf(_texts(_null(latex.number), pa.float64()), "double")
-correct = F.arrow_udf(_pairs(latex.correct), "boolean")
-equivalent = F.arrow_udf(_pairs(lambda a, b: None if a is None or b is None else latex.equivalent(a, b)), "boolean")
+class _Udf:
+    """An Arrow UDF that is made when it is first applied, so that importing needs no session."""
+
+    def __init__(self, function, kind: str):
+        self.function, self.kind = function, kind
+
+    def __call__(self, *columns) -> Column:
+        return F.arrow_udf(self.function, self.kind)(*columns)
+
+
+plain = _Udf(_texts(_null(latex.plain), pa.string()), "string")
+normal = _Udf(_texts(_null(latex.normal), pa.string()), "string")
+core = _Udf(_texts(_null(lambda x: latex.core(latex.normal(x))), pa.string()), "string")
+boxes = _Udf(_texts(_null(latex.boxed), pa.list_(pa.string())), "array<string>")
+final_answer = _Udf(_texts(_answer, _ANSWER), "answer string, matched boolean")
+steps = _Udf(_texts(extract.steps, pa.list_(pa.string())), "array<string>")
+number = _Udf(_texts(_null(latex.number), pa.float64()), "double")
+correct = _Udf(_pairs(latex.correct), "boolean")
+equivalent = _Udf(_pairs(lambda a, b: None if a is None or b is None else latex.equivalent(a, b)), "boolean")
 
 
 def _classes(answers: list | None) -> list[int] | None:
@@ -197,4 +207,4 @@ def _class_lists(c: pa.Array) -> pa.Array:
     return pa.array([_classes(x) for x in c.to_pylist()], pa.list_(pa.int32()))
 
 
-equivalence_classes = F.arrow_udf(_class_lists, "array<int>")
+equivalence_classes = _Udf(_class_lists, "array<int>")
