@@ -1,0 +1,93 @@
+import math
+import re
+
+import pytest
+
+from verdica.llm import op5_license_scan as op
+
+T = op.TEMPLATES
+
+
+def tokens(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+
+
+def brute(texts):
+    """(licence, score) of each text, by dictionaries."""
+    n, df = len(texts), {}
+    for t in texts:
+        for w in set(tokens(t or "")):
+            df[w] = df.get(w, 0) + 1
+    idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
+
+    def vector(text):
+        ws = tokens(text)
+        v = {w: (1 + math.log(ws.count(w))) * idf(w) for w in set(ws)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    models = [(name, vector(t)) for name, t in sorted((n, t) for n, ts in T.items() for t in ts)]
+    out = []
+    for text in texts:
+        best = (0.0, None)
+        for unit in [text or "", *(text or "").split("\n")]:
+            v = vector(unit)
+            for name, m in models:
+                c = sum(x * m.get(w, 0) for w, x in v.items())
+                if c > best[0] + 1e-12 or (abs(c - best[0]) <= 1e-12 and best[1] and name < best[1]):
+                    best = (c, name)
+        out.append((best[1] if best[0] >= op.THRESHOLD else None, best[0]))
+    return out
+
+
+TEXTS = [
+    "alpha beta\nLicensed under the Apache License, Version 2.0.\ngamma delta of the",
+    "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy",
+    "nothing of the kind here, in the text or any",
+    "This work is licensed under the GNU General Public License, version 3.",
+    "see the licence of the version for use",
+    "Licensed under CC BY-NC 4.0.",
+    "LICENSED UNDER CC BY 4.0.\n" * 3,
+    "", None, "\n\n",
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file. " + "word " * 5,
+]
+
+
+def test_scores_are_those_of_the_definition(spark):
+    df = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(TEXTS)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in op.scan(df).collect()}
+    for i, (name, score) in enumerate(brute(TEXTS)):
+        assert got[i]["score"] == pytest.approx(score, abs=1e-8) and got[i]["license"] == name
+
+
+def test_nearest_directory_wins(spark):
+    apache, mit, gpl = (T[n][0] for n in ("Apache-2.0", "MIT", "GPL-3.0"))
+    rows = [
+        (1, "LICENSE", apache), (2, "a/b/LICENSE.txt", mit), (3, "a/b/c/d.py", "plain code"), (4, "a/x.py", "plain code"), (5, "a/b/y.py", gpl), (6, "a/b/COPYING", "no words of law"),
+        (7, None, "plain code"), (8, "ab/z.py", None), (9, "a/b/c/d.py", "plain code"), (10, "top.py", "code"),
+    ]
+    got = {r["doc_id"]: (r["license"], r["basis"], r["directory"]) for r in op.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("Apache-2.0", "file", ""), 2: ("MIT", "file", "a/b"), 3: ("MIT", "inherited", "a/b"), 4: ("Apache-2.0", "inherited", ""), 5: ("GPL-3.0", "header", "a/b"),
+        6: ("MIT", "inherited", "a/b"), 7: (None, "none", None), 8: ("Apache-2.0", "inherited", ""), 9: ("MIT", "inherited", "a/b"), 10: ("Apache-2.0", "inherited", ""),
+    }
+
+
+def test_odd_rows(awkward, no_docs):
+    assert op.scan(awkward).count() == awkward.count() and op.scan(no_docs).count() == 0
+    assert op.scan(op.as_files(awkward)).count() == awkward.count()
+
+
+def test_planted_lines_are_found(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    got = {r["doc_id"]: r for r in op.scan(op.as_files(d)).collect()}
+    seen = 0
+    for r in d.collect():
+        found = [name for line, name in lines.items() if line in r["text"].split("\n")]
+        if found:
+            seen += 1
+            assert got[r["doc_id"]]["license"] in found and got[r["doc_id"]]["basis"] in ("file", "header")
+        else:
+            assert got[r["doc_id"]]["basis"] not in ("file", "header")
+    assert seen > 20
