@@ -151,13 +151,13 @@ def summary_text(payload: dict) -> str:
     return "\n".join(lines)
 
 
-def compare_backends(spark: SparkSession, problems: DataFrame, configs: list[Config], say: Callable[[str], None] = print) -> dict:
-    """Runs each configuration on the same problems and compares them by position."""
+def compare_backends(spark: SparkSession, problems: DataFrame, configs: list[Config], made: dict | None = None, say: Callable[[str], None] = print) -> dict:
+    """Runs each configuration on the same problems and compares them by position; ``made`` has generators by backend."""
     if len(configs) < 2:
         raise ValueError("a comparison needs two backends")
     long = None
     for n, config in enumerate(configs):
-        rows, about = run(spark, problems, config, say=say)
+        rows, about = run(spark, problems, config, (made or {}).get(config.backend), say=say)
         finish(rows, about, config, say=say)
         one = rows.select(F.lit(config.backend).alias("backend"), F.lit(n).alias("ord"), "index", "ok")
         long = one if long is None else long.unionByName(one)
