@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdica import cli
-from verdica.operators import grading, runs
+from verdica.operators import grading, numbering, runs
 from verdica.plans import evaluate, report
 from verdica.sources import generators, problems, results, scorers
 from verdica.streaming import ingest
@@ -147,6 +147,10 @@ def test_problems(spark, tmp_path):
     rows = spark.range(0, 500).select((F.col("id") * 7 % 500).alias("k"))
     made = problems.from_table(rows, "k", F.col("k").cast("string").alias("p"), "k")
     assert {(r["index"], r["answer"]) for r in made.collect()} == {(i, str(i)) for i in range(500)}
+    for text in (False, True):
+        ranged = rows.withColumn("g", F.col("k") % 3).withColumn("t", F.format_string("%05d", "k") if text else F.col("k"))
+        got = numbering.number(ranged, "t", "n", "g", 40).collect()
+        assert {(r["k"], r["n"]) for r in got} == {(i, i // 3) for i in range(500)} and len(numbering.bounds(ranged, "t", 40)) > 5
     made.write.parquet(str(tmp_path / "p"))
     assert problems.load(spark, str(tmp_path / "p"), limit=5).count() == 5 and [r["answer"] for r in problems.load(spark, str(tmp_path / "p"), question=3).collect()] == ["2"]
 

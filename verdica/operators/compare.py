@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import RANGE_ROWS, number
 from .stats import truth
 
 
-def positions(rows: DataFrame, key: str, backend: str = "backend") -> DataFrame:
+def positions(rows: DataFrame, key: str, backend: str = "backend", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows with ``pos``, counted from 0 within each backend by the key."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(backend).orderBy(key)) - 1)
+    return number(rows, key, "pos", backend, range_rows)
 
 
 def aligned(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.compare import positions
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -14,18 +16,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 SQL = {
     "eval_rows": "select d.doc_id as index, lang as subject, cast(d.doc_id % 5 + 1 as string) as difficulty, quality = 1 as ok, cast(n_chars % 1001 as int) as milli from labels l join documents d on l.doc_id = d.doc_id",
     "big_rows": "select concat(l_returnflag, l_linestatus) as subject, l_linenumber as difficulty, l_discount > 0.05 as ok, cast((l_orderkey * 7 + l_linenumber * 13) % 1001 as int) as milli from lineitem",
-    "runs": "select backend, ord, row_number() over (partition by backend order by o_orderkey) - 1 as pos, o_orderkey as index, ok from ("
-    "select 'a' as backend, 0 as ord, o_orderkey, o_orderstatus = 'F' as ok from orders union all "
+    "run_rows": "select backend, ord, o_orderkey as index, ok from (select 'a' as backend, 0 as ord, o_orderkey, o_orderstatus = 'F' as ok from orders union all "
     "select 'b', 1, o_orderkey, o_totalprice > 250000 from orders union all "
     "select 'c', 2, o_orderkey, o_orderpriority in ('1-URGENT', '2-HIGH') from orders where o_orderkey % 50 <> 7) x",
+    "runs": "select *, row_number() over (partition by backend order by index) - 1 as pos from (ROWS) y",
     "samples": "select conv_id as index, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as sample_index, cast(length(text) % 3 as string) as predicted, "
     "cast(conv_id % 3 as string) as gold, length(text) % 3 = conv_id % 3 as ok, case when length(text) % 7 = 0 then null else cast(length(text) % 1001 as int) end as milli, "
     "length(text) % 11 <> 0 as matched, case when length(text) % 13 = 0 then null else cast(length(text) as int) end as tokens from conversations where role = 'assistant'",
 }
+SQL["runs"] = SQL["runs"].replace("ROWS", SQL["run_rows"])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views, from the tables it names."""
+    """One of the views, from the tables it names; positions of runs are numbered in ranges."""
+    if name == "runs":
+        return positions(view(spark, sf_dir, "run_rows"), "index")
     text = SQL[name]
     for table in ("documents", "labels", "lineitem", "orders", "conversations"):
         if f" {table}" in text:

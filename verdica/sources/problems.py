@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number
 
-def from_table(rows: DataFrame, key: str, problem: str, answer, subject=None, level=None) -> DataFrame:
-    """Rows as problems, ``index`` counted from 0 by the key.
 
-    The count needs one order over all rows: ranges of the key are numbered apart, and each range starts
-    at the sum of those before it, so no single task sees all rows.
-    """
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    base = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = within.join(F.broadcast(sizes.withColumn("_base", base).drop("_size")), "_part")
+def from_table(rows: DataFrame, key: str, problem: str, answer, subject=None, level=None) -> DataFrame:
+    """Rows as problems, ``index`` counted from 0 by the key."""
     column = lambda c, t: F.lit(None).cast(t) if c is None else (F.col(c) if isinstance(c, str) else c).cast(t)
-    return placed.select(
-        (F.col("_n") + F.col("_base")).cast("int").alias("index"), column(problem, "string").alias("problem"), column(answer, "string").alias("answer"),
+    return number(rows, key, "_n").select(
+        F.col("_n").cast("int").alias("index"), column(problem, "string").alias("problem"), column(answer, "string").alias("answer"),
         column(subject, "string").alias("subject"), column(level, "int").alias("level"),
     )
 
