@@ -1,0 +1,135 @@
+"""The queries of the contract, and the pipeline against a brute-force version of all its stages."""
+
+import hashlib
+import math
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from verdica.llm import op2_raking, op3_string_tiling, op4_order_minhash, op6_importance, op8_token_files, registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def tokens(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def test_registered():
+    names = list(registry.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert set(registry.oracle_sql()) == {"op1_chat_formatting", "op2_mixing", "op9_url_filter"}
+    assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "labels", "conversations"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    cell = lambda x: "" if x is None or (isinstance(x, float) and math.isnan(x)) else f"{x:.9g}" if isinstance(x, float) else str(x)
+    rows = lambda pdf: sorted(tuple(map(cell, r)) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False))
+    assert rows(registry.queries()[name](spark, SF).toPandas()) == rows(c.execute(registry.oracle_sql()[name]).df())
+
+
+def brute_quality(docs, labels):
+    parts = lambda t: re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^\s0-9A-Za-z\u0080-\U0010ffff]+", t)
+    counts = {i: np.bincount(op6_importance.features(*op6_importance.K.view(__import__("pyarrow").array([d["text"]])))[0], minlength=op6_importance.BUCKETS) for i, d in docs.items()}
+    assert all(counts[i].sum() == max(0, 2 * len(parts(d["text"])) - 1) for i, d in docs.items())
+    raw, good = np.full(op6_importance.BUCKETS, 0.1), np.zeros(op6_importance.BUCKETS)
+    for i, c in counts.items():
+        raw += c
+        good += c * (labels.get(i) == 1)
+    raw /= raw.sum()
+    n = op6_importance.PRIOR * op6_importance.BUCKETS
+    ratio = np.log((good + n * raw) / (good.sum() + n)) - np.log(raw)
+    weight = {i: float(c @ ratio) for i, c in counts.items()}
+    known = [i for i in docs if i in labels]
+    cut = op6_importance.youden_cut(np.array([weight[i] for i in known]), np.array([labels[i] == 1 for i in known]))
+    return weight, sum(w >= cut for w in weight.values())
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    # quality: the k greatest noisy weights (the noise is a function of the id)
+    weight, k = brute_quality(docs, labels)
+    noise = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in docs], "doc_id long").select("doc_id", F.expr(f"-ln(-ln((shiftrightunsigned(xxhash64(doc_id, 6), 11) + 0.5D) / 9007199254740992D)) / {op6_importance.SHARPNESS}D")).collect()}
+    left = sorted(docs, key=lambda i: weight[i] + noise[i])[-k:]
+    # near copies: components of all aligned pairs, the least id stays
+    seqs = {i: tokens(docs[i]["text"]) for i in left}
+    head = {i: i for i in left}
+    for a in sorted(left):
+        for b in sorted(left):
+            most = op4_order_minhash.allowed(len(seqs[a]), len(seqs[b]), op4_order_minhash.SIMILARITY)
+            if a < b and seqs[a] and seqs[b] and abs(len(seqs[a]) - len(seqs[b])) <= most and op4_order_minhash.banded_distance(seqs[a], seqs[b], most) <= most:
+                old, new = max(head[a], head[b]), min(head[a], head[b])
+                head = {i: new if h == old else h for i, h in head.items()}
+    left = [i for i in left if head[i] == i]
+    # contamination: half of an item in common runs of four words, greedily
+    from test_op3 import brute_tiles
+
+    def dirty(i):
+        mine = {tuple(seqs[i][x : x + 4]) for x in range(len(seqs[i]) - 3)}
+        for t in map(tokens, items):
+            if len(t) >= 4 and any(tuple(t[x : x + 4]) in mine for x in range(len(t) - 3)) and brute_tiles(seqs[i], t, op3_string_tiling.MIN_MATCH)[0] >= op3_string_tiling.THRESHOLD * len(t):
+                return True
+        return False
+
+    left = [i for i in left if not dirty(i)]
+    # mixing: rake the cells, draw by digests
+    def cell(d):
+        n = {k: sum(d["text"].count(e) for e in v) for k, v in op2_raking.TOPICS.items()}
+        topic = max(n, key=lambda x: n[x]) if max(n.values()) else "other"
+        return d["source"], d["lang"], topic
+
+    def count(t):
+        return t.count(" ") + t.count("\n") + 1 if t else 0
+
+    cells: dict = {}
+    for i in left:
+        cells[cell(docs[i])] = cells.get(cell(docs[i]), 0) + count(docs[i]["text"])
+    keys, total = sorted(cells), sum(cells.values())
+    goals = []
+    for d, name in enumerate(op2_raking.DIMENSIONS):
+        have: dict = {}
+        for c in keys:
+            have[c[d]] = have.get(c[d], 0) + cells[c] / total
+        goals.append(op2_raking.target_shares(have, op2_raking.TARGETS[name]))
+    w = {c: cells[c] / total for c in keys}
+    for _ in range(op2_raking.ROUNDS):
+        for d in range(3):
+            sums: dict = {}
+            for c in keys:
+                sums[c[d]] = sums.get(c[d], 0) + w[c]
+            w = {c: x * goals[d][c[d]] / sums[c[d]] if sums[c[d]] else 0.0 for c, x in w.items()}
+    ratio = {c: w[c] / sum(w.values()) / (cells[c] / total) for c in keys}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * ratio[c]) * cells[c] for c in keys) < op2_raking.FRACTION * total else (low, mid)
+    draw = lambda i: int(hashlib.md5(f"{i}:{op2_raking.SEED}".encode()).hexdigest()[:8], 16) / 2**32
+    left = [i for i in left if draw(i) < min(1, high * ratio[cell(docs[i])])]
+    # tokens: whole texts by the tokenizer itself
+    bpe = op8_token_files.Encoder(op8_token_files.TOKENIZER, None)._bpe
+    expected = {i: len(bpe.encode_ordinary(docs[i]["text"])) + 1 for i in left}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: r["tokens"] for r in got} == expected and len(got) == len(expected) > 40
+    starts = sorted((r["doc"], r["start"], r["tokens"]) for r in got)
+    assert [s[0] for s in starts] == list(range(len(got))) and all(a[1] + a[2] == b[1] for a, b in zip(starts, starts[1:]))
+
+
+def test_stages_keep_the_columns_and_survive_odd_rows(spark, awkward, no_docs, tmp_path):
+    for docs in (awkward, no_docs):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns and out.count() <= n
+            else:
+                assert out.count() == n
