@@ -37,12 +37,18 @@ def select(samples: DataFrame, strategy: str, key: str = "predicted") -> DataFra
 
 
 def selections(samples: DataFrame, key: str = "predicted") -> DataFrame:
-    """The chosen samples of all strategies, with the strategy's name."""
-    out = None
-    for s in STRATEGIES:
-        one = select(samples, s, key).withColumn("strategy", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The chosen samples of all strategies, with the strategy's name, from one pass over the samples."""
+    score, row = F.coalesce(F.col("milli"), F.lit(0)), F.struct(*samples.columns)
+    rank = lambda c: F.struct(c.alias("v"), (-F.col("first")).alias("i"))
+    classes = samples.groupBy("index", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_class")).agg(
+        F.count("*").alias("votes"), F.sum(score).alias("weight"), F.min("sample_index").alias("first"), F.min_by(row, "sample_index").alias("head"),
+        F.max_by(row, _earliest(score)).alias("row"), F.max(_earliest(score)).alias("top"),
+    )
+    picked = classes.groupBy("index").agg(
+        F.min_by("head", "first").alias("first"), F.max_by("row", rank(F.col("votes"))).alias("majority"), F.max_by("row", "top").alias("best"), F.max_by("row", rank(F.col("weight"))).alias("weighted"),
+    )
+    each = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("row")) for s in STRATEGIES])
+    return picked.select(F.explode(each).alias("s")).select("s.row.*", "s.strategy")
 
 
 def selection_accuracy(samples: DataFrame, key: str = "predicted") -> DataFrame:

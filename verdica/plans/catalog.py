@@ -394,6 +394,82 @@ def normalise_fraction(spark, d):
     return T.answer_pairs(spark, d).select("p_partkey", C.normal("expected").alias("form"))
 
 
+_FORMS = {  # kind: (parts of the raw text, parts of its normal form); a and b are numbers of the row
+    "boxed": ("\\boxed{\\fbox{ a }}", "a"), "command": ("\\alpha + a \\times b \\foo", "alpha+a*b"), "dash": ("−a – b", "-a-b"), "degree": ("a^\\circ", "a"), "dollars": ("$a$.", "a"),
+    "interval": ("x \\in [a, b)", "xin[a,b)"), "matrix": ("\\begin{pmatrix} a & b \\\\ b & a \\end{pmatrix}", "(a,b,b,a)"), "mixed": ("a\\frac{b}{7}", "a*b/7"), "ordinal": ("a^{\\mathrm{th}}", "a"),
+    "percent": ("a\\%", "a%"), "power": ("x^{a}", "x**a"), "root": ("\\sqrt[3]{a}", "a**(1/3)"), "set": ("\\{a, b\\}", "{a,b}"), "subscript": ("a_{b}", "a_b"),
+    "surd": ("a\\sqrt{b}", "a*sqrt(b)"), "text": ("a\\text{ cm}", "a*cm"), "tuple": ("\\left(a, b\\right)", "(a,b)"),
+}
+
+def _filled(text: str, a, b, lit, join):
+    """The text with its lone letters a and b replaced by the row's numbers."""
+    import re
+
+    parts = re.split(r"(?<![A-Za-z])([ab])(?![A-Za-z])", text)
+    return join([{"a": a, "b": b}[p] if i % 2 else lit(p) for i, p in enumerate(parts) if p])
+
+
+def _forms_sql() -> str:
+    rows = ", ".join(
+        f"('{k}', " + _filled(form, "p_size::varchar", "(p_partkey % 12 + 1)::varchar", lambda x: "'" + x + "'", " || ".join) + ")" for k, (_, form) in _FORMS.items()
+    )
+    return f"select p_partkey, u.kind, u.form from part, lateral (values {rows}) u(kind, form)"
+
+
+@query(_forms_sql())
+def normal_forms(spark, d):
+    """One of each kind of LaTeX for every part, and the normal form it must have."""
+    a, b = F.col("p_size").cast("string"), (F.col("p_partkey") % 12 + 1).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _filled(raw, a, b, F.lit, lambda ps: F.concat(*ps)).alias("raw")) for k, (raw, _) in _FORMS.items()])).alias("u")
+    return T.read(spark, d, "part").select("p_partkey", each).select("p_partkey", "u.kind", C.normal("u.raw").alias("form"))
+
+
+@query(
+    "select p_partkey, p_size || '-1' as dashes, p_size::varchar as degrees, p_size || '_' || (p_partkey % 9) as subscripts, p_size || 'x' as ordinals, "
+    "p_size || '*x*(' || p_size || ')*y' as products, p_size::varchar as dots from part"
+)
+def native_steps(spark, d):
+    """The steps of the plain form that built-ins can do."""
+    s, c = F.col("p_size").cast("string"), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    return T.read(spark, d, "part").select(
+        "p_partkey", C.unify_dashes(c(s, "−1")).alias("dashes"), C.drop_degrees(c(s, "^\\circ")).alias("degrees"), C.flatten_subscripts(c(s, "_{", (F.col("p_partkey") % 9).cast("string"), "}")).alias("subscripts"),
+        C.drop_ordinals(c(s, "^{th}x")).alias("ordinals"), C.explicit_products(c(s, "x*(", s, ")y")).alias("products"), C.drop_final_dots(c(s, "...")).alias("dots"),
+    )
+
+
+@query("select p_partkey, p_partkey % 2 = 0 as ok from part")
+def grade_intervals(spark, d):
+    s, t, even = F.col("p_size").cast("string"), (F.col("p_size") + 5).cast("string"), F.col("p_partkey") % 2 == 0
+    said = F.concat(s, F.when(even, F.lit(" < x \\le ")).otherwise(F.lit(" \\le x \\le ")), t)
+    rows = T.read(spark, d, "part").select("p_partkey", F.concat(F.lit("("), s, F.lit(", "), t, F.lit("]")).alias("expected"), said.alias("predicted"))
+    return grading.grade(rows).select("p_partkey", "ok")
+
+
+@query("select p_partkey, p_partkey % 3 <> 0 as ok from part")
+def grade_plus_minus(spark, d):
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    root = F.lit("\\sqrt{11}")
+    two, one = F.concat(s, F.lit("-"), root, F.lit(", "), s, F.lit("+"), root), F.concat(s, F.lit("+"), root)
+    rows = T.read(spark, d, "part").select("p_partkey", F.concat(s, F.lit("\\pm"), root).alias("expected"), F.when(k == 0, one).when(k == 1, two).otherwise(F.concat(F.lit("x="), two)).alias("predicted"))
+    return grading.grade(rows).select("p_partkey", "ok")
+
+
+@query("select p_partkey, p_partkey % 2 = 1 as ok from part")
+def grade_matrices(spark, d):
+    s, t = F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")
+    cells = lambda x, y: F.concat(F.lit("\\begin{pmatrix} "), x, F.lit("/2 \\\\ "), y, F.lit(" \\end{pmatrix}"))
+    half = F.format_string("%.1f", F.col("p_size") / 2)
+    said = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("("), half, F.lit(", "), t, F.lit(")"))).otherwise(F.concat(F.lit("("), t, F.lit(", "), half, F.lit(")")))
+    rows = T.read(spark, d, "part").select("p_partkey", cells(s, t).alias("expected"), said.alias("predicted"))
+    return grading.grade(rows).select("p_partkey", "ok")
+
+
+@query("select event_id, abs(value - (value + d)) <= greatest(1e-9 * greatest(abs(value), abs(value + d)), 1e-9) as near from (select event_id, value, case when event_id % 2 = 0 then 1e-10 else 1e-3 end as d from events)")
+def close_numbers(spark, d):
+    moved = F.col("value") + F.when(F.col("event_id") % 2 == 0, F.lit(1e-10)).otherwise(F.lit(1e-3))
+    return T.read(spark, d, "events").select("event_id", C.close(F.col("value"), moved).alias("near"))
+
+
 @query("select o_orderkey, ((o_totalprice * 100)::bigint + 1000)::varchar as form from orders where o_orderkey % 3 = 0")
 def digit_grouping(spark, d):
     n = (F.round(F.col("o_totalprice") * 100).cast("bigint") + 1000)
