@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Rows of ids up to which a side is broadcast (16 MB of longs); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Rows of text that a Python worker is handed at a time.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +42,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/verdica/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes and rereads.  Python gets small batches meanwhile: texts are long, and memory is shared."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

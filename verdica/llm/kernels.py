@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -41,7 +41,7 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _powers[name] = have
     return have
 

@@ -175,10 +175,10 @@ def allowed(n: int, m: int, similarity: float) -> int:
 def _aligner(similarity: float):
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = batch.column(2), batch.column(3)
             good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right)):
-                a, b = np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist()
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(x[i].as_buffer(), np.uint64).tolist() for x in (left, right))
                 most = allowed(len(a), len(b), similarity)
                 good[i] = banded_distance(a, b, most) <= most
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))

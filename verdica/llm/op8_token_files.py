@@ -37,8 +37,8 @@ from .common import Scratch, kind, require
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-CACHE = 1_000_000  # pieces a Python worker remembers before it starts over
-BATCH_BYTES = 4 << 20
+CACHE = 250_000  # pieces a Python worker remembers before it starts over
+BATCH_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
