@@ -102,8 +102,10 @@ def run(spark: SparkSession, problems: DataFrame, config: Config, generator=None
     stored = log.rows(fp)
     if stored is None:
         raise ValueError("no questions")
-    # the log keeps the last row of each index and sample
-    rows = headline(_all_samples(spark, config, fp).join(wanted.select("index"), "index", "left_semi"))
+    # written once: every figure of the report reads these rows
+    table = f"{config.log_root()}/rows={fp}"
+    headline(_all_samples(spark, config, fp).join(wanted.select("index"), "index", "left_semi")).write.mode("overwrite").parquet(table)
+    rows = spark.read.parquet(table)
     about = {
         "model": config.model or generators.MODELS.get(config.backend, config.backend), "backend": config.backend, "k": config.k, "synthetic": bool(getattr(generator, "synthetic", False)),
         "scorer_kind": scorer.kind, "scorer_model": scorer.model, "duration_s": round(time.monotonic() - began, 1), "timestamp": datetime.now().isoformat(timespec="seconds"),
@@ -112,6 +114,7 @@ def run(spark: SparkSession, problems: DataFrame, config: Config, generator=None
 
 
 def _all_samples(spark: SparkSession, config: Config, fp: str) -> DataFrame:
+    """The last row of each question and sample in the log."""
     df = spark.read.parquet(f"{config.log_root()}/fingerprint={fp}")
     row = F.struct(*[c for c in df.columns if c not in ("index", "sample_index")])
     return df.groupBy("index", "sample_index").agg(F.max_by(row, "_chunk").alias("r")).select("index", "sample_index", "r.*").drop("_chunk")
