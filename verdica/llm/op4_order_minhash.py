@@ -172,6 +172,12 @@ def allowed(n: int, m: int, similarity: float) -> int:
     return math.floor((1 - similarity) * max(n, m) + 1e-9)
 
 
+def apart(a: list, b: list, most: int) -> bool:
+    """Surely more than ``most`` edits: each word that the other side lacks takes one."""
+    x, y = set(a), set(b)
+    return len(a) - sum(w in y for w in a) > most or len(b) - sum(w in x for w in b) > most
+
+
 def _aligner(similarity: float):
     def run(batches):
         for batch in batches:
@@ -180,6 +186,8 @@ def _aligner(similarity: float):
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64).tolist() for x in (left, right))
                 most = allowed(len(a), len(b), similarity)
+                if apart(a, b, most):
+                    continue
                 good[i] = banded_distance(a, b, most) <= most
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
@@ -262,6 +270,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
     )
     more = aligned(crossed, "crossed")
     groups = components(exact.unionByName(stars).unionByName(more), scratch, "groups")
+    scratch.drop("sketches", "heads", "buckets", "sides", "exact", "stars", "crossed", "first-edges", "groups-edges")
     return groups.where("id <> label").select(F.col("id").alias("doc_id"), F.col("label").alias("keeper"))
 
 
