@@ -174,9 +174,13 @@ def _as_frames(cells: DataFrame, targets: dict, fraction: float, rounds: int, sc
 
 def cell_weights(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, rounds: int = ROUNDS, topics: dict = TOPICS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(source, lang, topic, weight, probability) for every cell."""
-    scratch = Scratch(docs.sparkSession, "raking")
     base = require(docs, "doc_id", "source", "lang", "text")
-    cells = scratch.table(base.select(*_features(base, topics)).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    return _weights(base.select(*_features(base, topics)), targets, fraction, rounds, driver_cells)
+
+
+def _weights(features: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    scratch = Scratch(features.sparkSession, "raking")
+    cells = scratch.table(features.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     if cells.count() <= driver_cells:
         return _on_driver(cells, targets, fraction, rounds)
     return _as_frames(cells, targets, fraction, rounds, scratch)
@@ -188,23 +192,21 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _drawn(docs: DataFrame, topics: dict, seed: int, **options) -> DataFrame:
-    weights = cell_weights(docs, topics=topics, **options)
-    columns = [*docs.columns]
-    row = F.struct(*[docs[c] for c in columns]).alias("_row")
-    cells = sized(weights.select(*DIMENSIONS, "weight", "probability"))
-    return docs.select(row, *_features(docs, topics)).join(cells, list(DIMENSIONS)).where(uniform(F.col("_row.doc_id"), seed) < F.col("probability"))
-
-
 def sample(docs: DataFrame, topics: dict = TOPICS, seed: int = SEED, **options) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability) of the documents drawn."""
-    drawn = _drawn(require(docs, "doc_id", "source", "lang", "text"), topics, seed, **options)
-    return drawn.select(F.col("_row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", "weight", "probability")
+    """(doc_id, source, lang, topic, tokens, weight, probability) of the documents drawn; the texts are read once."""
+    base = require(docs, "doc_id", "source", "lang", "text")
+    features = Scratch(docs.sparkSession, "raking").table(base.select("doc_id", *_features(base, topics)), "features")
+    cells = sized(_weights(features, **options).select(*DIMENSIONS, "weight", "probability"))
+    drawn = features.join(cells, list(DIMENSIONS)).where(uniform(F.col("doc_id"), seed) < F.col("probability"))
+    return drawn.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability")
 
 
 def mix(docs: DataFrame, topics: dict = TOPICS, seed: int = SEED, **options) -> DataFrame:
-    """The documents drawn, with the columns of ``docs``."""
-    return _drawn(docs, topics, seed, **options).select("_row.*")
+    """The documents drawn, with the columns of ``docs``; texts are read twice and not shuffled."""
+    cells = sized(cell_weights(docs, topics=topics, **options).select(*DIMENSIONS, "probability"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    drawn = docs.select(row, *_features(docs, topics)).join(cells, list(DIMENSIONS)).where(uniform(F.col("_row.doc_id"), seed) < F.col("probability"))
+    return drawn.select("_row.*")
 
 
 def oracle() -> str:
