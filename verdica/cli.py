@@ -11,27 +11,34 @@ from .plans import evaluate, report
 from .sources import generators, problems, results
 
 
+_FLAG = {"action": "store_true"}
+_OPTIONS = {
+    "--problems": {"help": "Parquet of index, problem, answer, subject, level"},
+    "--questions -n": {"default": 3, "type": int},
+    "--question -q": {"help": "only this one, from 1", "type": int},
+    "--backend -b": {"choices": sorted(generators.GENERATORS), "default": "mock"},
+    "--model": {},
+    "-k": {"default": 1, "help": "samples of each question", "type": int},
+    "--temperature -t": {"type": float},
+    "--max-tokens": {"default": 16384, "type": int},
+    "--four-bits": _FLAG,
+    "--no-resume": _FLAG,
+    "--think": {"choices": ("merge", "off"), "default": "merge"},
+    "--out": {"default": "."},
+    "--report": {"default": "report.html"},
+    "--compare": {"help": "backends, separated by commas"},
+    "--report-only": {"help": "make the report anew from stored results", "metavar": "JSON"},
+    "--master": {"default": "local[*]"},
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="verdica", description="Evaluate model answers on Spark.")
-    p.add_argument("--problems", help="Parquet of index, problem, answer, subject, level")
-    p.add_argument("-n", "--questions", type=int, default=3)
-    p.add_argument("-q", "--question", type=int, help="only this one, from 1")
-    p.add_argument("-b", "--backend", default="mock", choices=sorted(generators.GENERATORS))
-    p.add_argument("--model")
-    p.add_argument("-k", type=int, default=1, help="samples of each question")
-    p.add_argument("-t", "--temperature", type=float)
-    p.add_argument("--max-tokens", type=int, default=16384)
+    for names, options in _OPTIONS.items():
+        p.add_argument(*names.split(), **options)
     kind = p.add_mutually_exclusive_group()
-    kind.add_argument("--no-scores", action="store_true")
-    kind.add_argument("--orm", action="store_true", help="score outcomes instead of steps")
-    p.add_argument("--four-bits", action="store_true")
-    p.add_argument("--no-resume", action="store_true")
-    p.add_argument("--think", default="merge", choices=("merge", "off"))
-    p.add_argument("--out", default=".")
-    p.add_argument("--report", default="report.html")
-    p.add_argument("--compare", help="backends, separated by commas")
-    p.add_argument("--report-only", metavar="JSON", help="make the report anew from stored results")
-    p.add_argument("--master", default="local[*]")
+    for name, text in (("--no-scores", "no reward model"), ("--orm", "score outcomes instead of steps")):
+        kind.add_argument(name, help=text, action="store_true")
     return p
 
 
@@ -50,7 +57,7 @@ def main(args: list[str] | None = None) -> int:
     if a.k > 1 and a.temperature == 0:
         print("at temperature 0 all samples are the same", file=sys.stderr)
     spark = session.build(a.master)
-    config = evaluate.Config(a.questions, a.question, names[0], a.model, a.k, a.temperature, a.max_tokens, not a.no_scores, "orm" if a.orm else "prm", a.four_bits, not a.no_resume, a.think, a.out, report=a.report)
+    config = evaluate.Config(a.questions, a.question, names[0], a.model, a.k, a.max_tokens, a.temperature, not a.no_scores, "orm" if a.orm else "prm", a.four_bits, not a.no_resume, a.think, a.out, report=a.report)
     if a.report_only:
         rows = results.read_json(spark, a.report_only).withColumnRenamed("answer_accuracy", "ok") if not _own(a.report_only) else _own_rows(spark, a.report_only)
         if rows.isEmpty():

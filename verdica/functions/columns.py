@@ -35,15 +35,15 @@ def drop_degrees(c: Column) -> Column:
 
 
 def flatten_subscripts(c: Column) -> Column:
-    return F.regexp_replace(c, r"_\s*\{([^{}]*)\}", "_$1")
+    return F.regexp_replace(c, latex.SUBSCRIPT, "_$1")
 
 
 def drop_ordinals(c: Column) -> Column:
-    return F.regexp_replace(c, r"\^\s*\{?\s*(?:th|rd|nd|st)\s*\}?", "")
+    return F.regexp_replace(c, latex.ORDINAL, "")
 
 
 def explicit_products(c: Column) -> Column:
-    for gap in (r"(?<=\d)(?![eE][-+]?\d)(?=[a-zA-Z])", r"(?<=\d)(?=\()", r"(?<=\))(?=[(0-9a-zA-Z])"):
+    for gap in latex.PRODUCTS:
         c = F.regexp_replace(c, gap, "*")
     return c
 
@@ -62,7 +62,7 @@ def old_normal(c: Column) -> Column:
 
 def lone_grouping(c: Column) -> Column:
     """A lone number without the commas between its groups."""
-    whole = F.regexp_like(strip(c), F.lit(r"^\$*-?\d{1,3}(?:,\s*\d{3})+(?:\.\d+)?$"))
+    whole = F.regexp_like(strip(c), F.lit(rf"^\$*{latex.ONE_GROUPED}$"))
     return F.when(whole, F.regexp_replace(F.regexp_replace(strip(c), r"^\$+", ""), r",\s*(?=\d)", "")).otherwise(c)
 
 
@@ -76,7 +76,7 @@ def strip_base(c: Column) -> Column:
 
 
 def strip_prefix(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[a-z][a-z0-9]*(?:in|=)(?=[^<=>])", "")
+    return F.regexp_replace(c, f"^{latex.PREFIX}", "")
 
 
 _COMPARE, _VARIABLE = "(<=|>=|<|>)", "([a-z][a-z0-9_]*)"

@@ -6,8 +6,9 @@ import re
 
 from .latex import boxed
 
-_PHRASE = re.compile(r"(?:final\s+answer|answer|result|equals)\s*(?:is|=|:)?\s*(.+?)$", re.I | re.M)
-_DISPLAYS = (re.compile(r"\\\[(.*?)\\\]", re.S), re.compile(r"\$\$(.*?)\$\$", re.S), re.compile(r"\\\((.*?)\\\)", re.S))
+_CUES = "|".join(("equals", "result", r"(?:final\s+)?answer"))
+_PHRASE = re.compile(rf"(?:{_CUES})\s*(?:is|=|:)?\s*(.+?)$", re.I | re.M)
+_DISPLAYS = [re.compile(f"{re.escape(a)}(.*?){re.escape(b)}", re.S) for a, b in (("\\[", "\\]"), ("$$", "$$"), ("\\(", "\\)"))]
 _FENCES = {"\\[": "\\]", "$$": "$$"}
 LEAST_STEP = 6
 

@@ -114,7 +114,8 @@ def roc_auc(rows: DataFrame, milli: str = "milli", ok: str = "ok") -> DataFrame:
 def auc_interval(auc: Column, n_right: Column, n_wrong: Column, z: float = Z95) -> tuple[Column, Column]:
     """The Hanley-McNeil interval around the AUC, its variance taken half a pair inside the ends."""
     pairs = n_right.cast("double") * n_wrong
-    a = F.least(F.greatest(auc, 0.5 / pairs), 1 - 0.5 / pairs)
+    margin = 0.5 / pairs
+    a = F.least(1 - margin, F.greatest(margin, auc))
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
     v = (a * (1 - a) + (n_right - 1) * (q1 - a * a) + (n_wrong - 1) * (q2 - a * a)) / pairs
     half = z * F.sqrt(F.greatest(v, F.lit(0.0)))

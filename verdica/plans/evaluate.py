@@ -31,8 +31,8 @@ class Config:
     backend: str = "mock"
     model: str | None = None
     k: int = 1
-    temperature: float | None = None
     max_tokens: int = 16384
+    temperature: float | None = None
     scoring: bool = True
     scorer: str = "prm"
     four_bits: bool | None = False
@@ -45,17 +45,16 @@ class Config:
 
     def heat(self) -> float:
         """Several samples of temperature 0 would be the same one."""
-        if self.temperature is not None:
-            return self.temperature
-        return 0.7 if self.k > 1 else 0.0
+        usual = 0.7 if self.k > 1 else 0.0
+        return usual if self.temperature is None else self.temperature
 
     def fingerprint(self) -> str:
         """Names what results depend on; the number of questions isn't part of it, so a run can be extended."""
-        parts = {
-            "backend": self.backend, "model": self.model, "k": self.k, "temperature": self.heat(), "max_tokens": self.max_tokens, "scoring": self.scoring,
-            "scorer": self.scorer if self.scoring else None, "four_bits": self.four_bits if self.scoring else None, "think": self.think if self.backend == "qwen" else None,
-            "prompt": "solve-briefly-boxed-1",
-        }
+        parts = {n: getattr(self, n) for n in ("backend", "k", "max_tokens", "model", "scoring")} | {"heat": self.heat(), "prompt": "solve-briefly-boxed-1"}
+        if self.scoring:
+            parts |= {"four_bits": self.four_bits, "scorer": self.scorer}
+        if self.backend == "qwen":
+            parts["think"] = self.think
         return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:16]
 
     def log_root(self) -> str:

@@ -22,7 +22,7 @@ def suffixed(path: str, name: str) -> str:
     return str(p.with_name(f"{p.stem}_{name}{p.suffix or '.html'}"))
 
 
-def targets(path: str, backend: str, questions: int, canonical: bool = True) -> list[str]:
+def targets(path: str, backend: str, questions: int, canonical=True) -> list[str]:
     """The files that a run of this size may write: only a full one owns the headline."""
     if questions < FULL_RUN:
         return [suffixed(path, f"{backend}_partial")]
@@ -37,11 +37,11 @@ def esc(x) -> str:
 
 
 def pct(x) -> str:
-    return "–" if x is None else f"{100 * x:.1f}%"
+    return format(100 * x, ".1f") + "%" if x is not None else "–"
 
 
-def num(x, digits: int = 3) -> str:
-    return "–" if x is None else f"{x:.{digits}f}"
+def num(x) -> str:
+    return format(x, ".3f") if x is not None else "–"
 
 
 def hue(score) -> str:
@@ -55,7 +55,7 @@ _W, _H, _PAD = 520, 240, 36
 
 
 def _svg(body: str, title: str, width: int = _W, height: int = _H) -> str:
-    return f'<figure><figcaption>{esc(title)}</figcaption><svg viewBox="0 0 {width} {height}" role="img" aria-label="{esc(title)}">{body}</svg></figure>'
+    return f'<figure><figcaption>{esc(title)}</figcaption><svg role="img" aria-label="{esc(title)}" viewBox="0 0 {width} {height}">{body}</svg></figure>'
 
 
 def _axes() -> str:
@@ -70,6 +70,19 @@ def _y(v: float) -> float:
     return _H - _PAD - v * (_H - 1.5 * _PAD)
 
 
+def _place(**at: float) -> str:
+    return " ".join(f'{k}="{round(v, 1)}"' for k, v in at.items())
+
+
+def _bar(x: float, top: float, width: float, look: str, hint) -> str:
+    """A bar from the axis up to ``top``."""
+    return f"<rect {look} {_place(height=_H - _PAD - top, width=width, x=x, y=top)}><title>{esc(hint)}</title></rect>"
+
+
+def _text(x: float, y: float, text: str) -> str:
+    return f"<text {_place(x=x, y=y)}>{esc(text)}</text>"
+
+
 def bars(items: list[dict], title: str) -> str:
     """Accuracy by group."""
     if not items:
@@ -77,8 +90,8 @@ def bars(items: list[dict], title: str) -> str:
     step, out = 1 / len(items), [_axes()]
     for n, i in enumerate(items):
         x, y = _x(n * step), _y(i["accuracy"])
-        out.append(f'<rect x="{x + 3:.1f}" y="{y:.1f}" width="{max(_x(step) - _PAD - 6, 2):.1f}" height="{_H - _PAD - y:.1f}" fill="{hue(i["accuracy"])}"><title>{esc(i["key"])}: {i["correct"]}/{i["total"]}</title></rect>')
-        out.append(f'<text x="{x + 4:.1f}" y="{y - 4:.1f}">{pct(i["accuracy"])}</text><text x="{x + 4:.1f}" y="{_H - _PAD + 14}">{esc(str(i["key"])[:12])}</text>')
+        out.append(_bar(x + 3, y, max(_x(step) - _PAD - 6, 2), f'fill="{hue(i["accuracy"])}"', f"{i['key']}: {i['correct']}/{i['total']}"))
+        out += [_text(x + 4, y - 4, pct(i["accuracy"])), _text(x + 4, _H - _PAD + 14, str(i["key"])[:12])]
     return _svg("".join(out), title)
 
 
@@ -94,7 +107,7 @@ def heatmap(cells: list[dict], title: str) -> str:
 
 def calibration_chart(bins: list[dict]) -> str:
     """Accuracy against mean score, points sized by count; nothing with under two filled bins."""
-    full = [b for b in bins if b["count"]]
+    full = list(filter(lambda b: b["count"], bins))
     if len(full) < 2:
         return ""
     most = max(b["count"] for b in full)
@@ -109,7 +122,7 @@ def histogram(counts: list[dict], bins: int = 10) -> str:
     most, out = max(c["count"] for c in counts), [_axes()]
     for c in counts:
         x, y = _x((c["bin"] + (0.0 if c["ok"] else 0.45)) / bins), _y(c["count"] / most)
-        out.append(f'<rect class="{"right" if c["ok"] else "wrong"}" x="{x:.1f}" y="{y:.1f}" width="{0.42 * (_x(1 / bins) - _PAD):.1f}" height="{_H - _PAD - y:.1f}"><title>{c["count"]}</title></rect>')
+        out.append(_bar(x, y, 0.42 * (_x(1 / bins) - _PAD), f'class="{"right" if c["ok"] else "wrong"}"', c["count"]))
     return _svg("".join(out), "Scores of right and wrong answers")
 
 
@@ -120,6 +133,11 @@ def _section(title: str, body: str) -> str:
     return f"<section><h2>{esc(title)}</h2>{body}</section>" if body else ""
 
 
+def _rows(table) -> str:
+    """Table rows, the first cell of each its head."""
+    return "".join("<tr>" + "".join(f"<{t}>{esc(x)}</{t}>" for t, x in zip(("th", *["td"] * len(r)), r)) + "</tr>" for r in table)
+
+
 def cards(s: dict) -> str:
     shown = [
         ("Accuracy", pct(s.get("accuracy"))), ("Correct", f"{s.get('correct', 0)} of {s.get('questions', 0)}"), ("Mean score", num(s.get("mean_score"))),
@@ -153,23 +171,23 @@ def calibration_section(p: dict) -> str:
         return ""
     name, judged = scorer_words(p["summary"].get("scorer_kind"))
     facts = [("Correlation", num(c["r"])), ("Mean, right", num(c["mean_correct"])), ("Mean, wrong", num(c["mean_incorrect"])), ("Separation", num(c["separation"])), ("Calibration error", num(c["ece"]))]
-    rows = "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in facts)
+    rows = _rows(facts)
     return _section(f"{name} (judges {judged})", f"<p>{esc(verdict_words(c))}</p><table>{rows}</table>{calibration_chart(p.get('bins', []))}{histogram(p.get('histogram', []))}")
 
 
 def selection_section(p: dict) -> str:
     if (p["summary"].get("k") or 1) <= 1 or not p.get("selection"):
         return ""
-    rows = "".join(f"<tr><th>{esc(s['strategy'])}</th><td>{pct(s['accuracy'])}</td><td>{s['delta']:+.1f}</td></tr>" for s in p["selection"])
+    rows = _rows((s["strategy"], pct(s["accuracy"]), format(s["delta"], "+.1f")) for s in p["selection"])
     return _section("Choosing one of the samples", f"<table><tr><th></th><th>accuracy</th><th>points on first</th></tr>{rows}</table>")
 
 
 def comparison_section(c: dict | None) -> str:
     if not c:
         return ""
-    a = "".join(f"<tr><th>{esc(r['backend'])}</th><td>{pct(r['accuracy'])}</td></tr>" for r in c["accuracy"])
-    g = "".join(f"<tr><th>{esc(r['a'])} / {esc(r['b'])}</th><td>{pct(r['agreement'])}</td></tr>" for r in c["agreement"])
-    d = "".join(f"<tr><td>{r['pos']}</td><td>{esc(r['right'])}</td><td>{esc(r['wrong'])}</td></tr>" for r in c["divergences"])
+    a = _rows((r["backend"], pct(r["accuracy"])) for r in c["accuracy"])
+    g = _rows((f"{r['a']} / {r['b']}", pct(r["agreement"])) for r in c["agreement"])
+    d = _rows((r["pos"], r["right"], r["wrong"]) for r in c["divergences"])
     return _section("Comparison", f"<table>{a}</table><h3>Agreement</h3><table>{g}</table><h3>Where they differ</h3><table><tr><th>position</th><th>right</th><th>wrong</th></tr>{d}</table>")
 
 

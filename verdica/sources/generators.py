@@ -108,10 +108,10 @@ class Ollama(Remote):
         if think not in ("merge", "off"):
             raise ValueError(f"think is merge or off, not {think!r}")
         self.model, self.timeout, self.think = model or MODELS["qwen"], timeout, think
-        self.host = host or os.environ.get("OLLAMA_HOST", "http://localhost:11434")
+        self.host = os.environ.get("OLLAMA_HOST", "http://localhost:11434") if host is None else host
 
     def body(self, prompt: str, temperature: float, max_tokens: int) -> dict:
-        asked = {"model": self.model, "prompt": prompt, "stream": False, "options": {"num_predict": max_tokens, "temperature": temperature}}
+        asked = {"options": {"num_predict": max_tokens, "temperature": temperature}, "prompt": prompt, "stream": False, "model": self.model}
         return asked | ({"think": False} if self.think == "off" else {})
 
     @staticmethod

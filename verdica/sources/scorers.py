@@ -141,8 +141,8 @@ class OutcomeScorer(_Model):
         plus, minus = (tokens.encode(x, add_special_tokens=False)[-1] for x in "+-")
 
         def ask(problem: str, solution: str) -> float:
-            talk = [{"role": "user", "content": f"{problem} {solution}"}, {"role": "assistant", "content": "+"}]
-            ids = tokens.apply_chat_template(talk, return_tensors="pt", truncation=True, max_length=self.max_length).to(model.device)
+            talk = [dict(zip(("role", "content"), turn)) for turn in (("user", problem + " " + solution), ("assistant", "+"))]
+            ids = tokens.apply_chat_template(talk, max_length=self.max_length, truncation=True, return_tensors="pt").to(model.device)
             check_verdict(ids[0].tolist(), plus)
             with torch.no_grad():
                 logits = model(ids).logits[0, LOGITS]
