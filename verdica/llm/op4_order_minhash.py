@@ -100,6 +100,7 @@ def _sketcher(count: int, seed: int):
                     ],
                     names=["doc_id", "n", "h1", "h2", "sketches"],
                 )
+        K.release()
 
     return run
 
@@ -190,6 +191,7 @@ def _aligner(similarity: float):
                     continue
                 good[i] = banded_distance(a, b, most) <= most
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+        K.release()
 
     return run
 
@@ -201,6 +203,7 @@ def _encoder(batches):
             hashes, rows = K.words(raw, at)
             out = [hashes[rows[i] : rows[i + 1]].tobytes() for i in range(len(rows) - 1)]
             yield pa.RecordBatch.from_arrays([ids.slice(start, len(out)), pa.array(out, pa.binary())], names=["id", "words"])
+    K.release()
 
 
 def duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, seed: int = 4) -> DataFrame:

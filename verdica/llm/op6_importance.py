@@ -78,6 +78,7 @@ def _counter(batches):
                 good_counts += np.bincount(bucket[mine[row]], minlength=BUCKETS)
     seen = np.flatnonzero(raw_counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw_counts[seen]), pa.array(good_counts[seen])], names=["bucket", "raw", "good"])
+    K.release()
 
 
 def _scorer(ratios):

@@ -189,6 +189,7 @@ def _writer(out_dir: str, tokenizer: str, end: int | None):
             stream.close()
             files.move(draft, f"{root}/shard-{shard:06d}.bin")
             _write(files, f"{root}/shard-{shard:06d}.idx", (x.tobytes() for x in offsets))
+        K.release()
 
     return run
 
