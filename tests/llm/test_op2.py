@@ -58,3 +58,15 @@ def test_the_distributed_way_agrees(awkward, spark):
         assert a.keys() == b.keys()
         for k in a:
             assert a[k] == pytest.approx(b[k], rel=1e-6, abs=1e-9)
+
+
+def test_languages_that_no_target_names_are_drawn(spark):
+    have = {"en": 0.5, "de": 0.1, "it": 0.2, "(none)": 0.2}
+    assert op.target_shares(have, op.TARGETS["lang"]) == pytest.approx({"en": 0.4, "de": 0.2, "it": 0.2, "(none)": 0.2})
+    assert op.target_shares({"it": 0.3, "(none)": 0.7}, op.TARGETS["lang"]) == pytest.approx({"it": 0.3, "(none)": 0.7})
+    langs = ["en"] * 5 + ["de"] + ["it"] * 2 + [None] * 2
+    docs = spark.createDataFrame([(i, "one two three four", langs[i % 10], "s") for i in range(1000)], "doc_id long, text string, lang string, source string")
+    n = {r["lang"]: r["count"] for r in op.mix(docs).groupBy("lang").count().collect()}
+    assert n.keys() == {"en", "de", "it", None} and 90 < n["it"] < 150 and 90 < n[None] < 150
+    a, b = ({tuple(r[:3]): tuple(r[3:]) for r in op.cell_weights(docs, driver_cells=k, rounds=2).collect()} for k in (99, 0))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)

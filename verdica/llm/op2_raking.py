@@ -10,7 +10,8 @@ from the MD5 of doc_id and seed, so it is repeatable and SQL can restate it.
 A target is a number, the power to which the shares found are raised (1 leaves the
 marginal as it is, 0 levels it), or a mapping of values to shares; what a mapping doesn't
 name keeps its own share of the rest, a named value that isn't there is left out,
-and the shares are scaled to sum to 1.
+and the shares are scaled to sum to 1.  A mapping whose shares leave no rest (they sum to 1)
+says how the named values divide what they have together; all others keep the share found.
 
 The documents are not shuffled: one pass sums the cells, a second draws.  The cells
 number at most sources x languages x topics; up to ``driver_cells`` of them are raked on
@@ -37,6 +38,8 @@ FRACTION = 0.6
 ROUNDS = 50
 DRIVER_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
+#: A mapping leaves a rest for values that it doesn't name if its shares sum to less than 1 by more than this.
+LEAST_REST = 1e-9
 SEED = 2
 
 
@@ -69,13 +72,21 @@ def _features(docs: DataFrame, topics: dict) -> list[Column]:
     ]
 
 
+def _split(target: dict, named: float, rest: float) -> tuple[float, float]:
+    """Factors for the shares named and for the shares found of all other values: named is the sum of those that occur, rest the others' share."""
+    left = 1 - sum(target.values())
+    if left > LEAST_REST:
+        return 1.0, left / rest if rest else 0.0
+    return (1 - rest) / named if rest and named else 1.0, 1.0
+
+
 def target_shares(shares: dict, target) -> dict:
     """The shares that a marginal is raked to, by value, from those found."""
     if isinstance(target, dict):
         named = {v: target[v] for v in shares if v in target}
         rest = sum(s for v, s in shares.items() if v not in target)
-        left = max(0.0, 1 - sum(target.values()))
-        wanted = {v: named[v] if v in named else (left * s / rest if rest else 0.0) for v, s in shares.items()}
+        goal, other = _split(target, sum(named[v] for v in named if shares[v] > 0), rest)
+        wanted = {v: named[v] * goal if v in named else s * other for v, s in shares.items()}
     else:
         wanted = {v: s ** float(target) if s > 0 else 0.0 for v, s in shares.items()}
     wanted = {v: w if shares[v] > 0 else 0.0 for v, w in wanted.items()}
@@ -141,10 +152,10 @@ def _as_frames(cells: DataFrame, targets: dict, fraction: float, rounds: int, sc
         have = now.groupBy(d).agg(F.sum("w").alias("s"))
         target = targets[d]
         if isinstance(target, dict):
-            named = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col(d)]
-            rest = have.where(~F.col(d).isin(*target)).agg(F.sum("s")).first()[0] or 0.0
-            left = max(0.0, 1 - sum(target.values()))
-            goal = F.coalesce(named.cast("double"), F.col("s") * (left / rest if rest else 0.0))
+            named = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col(d)].cast("double")
+            there, rest = have.where("s > 0").agg(F.sum(named), F.sum(F.when(named.isNull(), F.col("s")))).first()
+            goal, other = _split(target, there or 0.0, rest or 0.0)
+            goal = F.coalesce(named * goal, F.col("s") * other)
         else:
             goal = F.pow("s", F.lit(float(target)))
         have = have.select(d, F.when(F.col("s") > 0, goal).otherwise(0.0).alias("g"))
