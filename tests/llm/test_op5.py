@@ -1,6 +1,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 
 from verdica.llm import op5_license_scan as op
@@ -91,3 +92,30 @@ def test_planted_lines_are_found(spark):
         else:
             assert got[r["doc_id"]]["basis"] not in ("file", "header")
     assert seen > 20
+
+
+def test_headers_amid_other_words(spark):
+    before, after = ("lorem%d ipsum%d dolor " * 20 % tuple(range(k, k + 40)) for k in (0, 40))
+    rows = [(name, " ".join((before, text, after))) for name in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0") for text in T[name]]
+    rows += [("Apache-2.0", before + "Licensed under the Apache\nLicense,\nVersion 2.0. " + after), ("MIT", "\r".join((before, T["MIT"][0], after))), (None, before + after), (None, before)]
+    # a far line that is like one licence gives way to another licence's very words
+    rows.append(("Apache-2.0", "Released under the MIT License of old.\n" + before + T["Apache-2.0"][1] + after))
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", text) for i, (_, text) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["basis"]) for r in op.scan(df).collect()}
+    assert got == {i: (name, "header" if name else "none") for i, (name, _) in enumerate(rows)}
+
+
+def test_no_window_is_lost_by_the_bounds():
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(1, 9, op.DIMENSIONS)
+    t = op.Templates(T, idf)
+    vocabulary = np.append(np.flatnonzero(t.row >= 0), [1, 2, 3])
+    bucket, row = vocabulary[rng.integers(0, 9, 400) + np.repeat(rng.integers(0, len(vocabulary) - 9, 20), 20)], np.repeat(np.arange(4), 100)
+    want = []
+    for n in t.lengths:
+        for i in range(len(bucket) - n + 1):
+            if row[i] == row[i + n - 1]:
+                best, which = t.cosines(np.zeros(n, np.int64), bucket[i : i + n], 1)
+                want += [(row[i], best[0], which[0])] if best[0] >= 0.3 else []
+    got = list(zip(*t.windows(bucket, row, 0.3)))
+    assert len(want) > 20 and sorted(got) == sorted(want)

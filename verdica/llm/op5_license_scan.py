@@ -7,6 +7,12 @@ texts: ``ln((1 + texts) / (1 + df)) + 1``.  The greatest cosine of any unit to a
 counts; from ``THRESHOLD`` the text carries that template's licence.  Of equal scores the
 licence first in the alphabet is taken.
 
+So that a header is also found amid other words of a line, in a text without line breaks or
+across them, all windows of as many words as any template has are scored too.  A window
+counts from ``THRESHOLD``, where text and lines have no licence or another with a lower score.
+All windows are bounded by running sums first; only those that may reach the threshold are
+scored in full, so that none is lost.
+
 A file whose name is that of a licence file lends its licence to its directory (of
 several the best scored, then the first in the alphabet).  A file without a licence of its
 own has that of the nearest directory above it that has one: the distinct directories
@@ -30,6 +36,8 @@ from .common import Scratch, require, sized
 
 DIMENSIONS = 1 << 16
 THRESHOLD = 0.6
+#: Windows scored in full at a time.
+WINDOWS = 1 << 14
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 TEMPLATES = {
@@ -103,6 +111,7 @@ class Templates:
         self.matrix = np.zeros((len(used), len(pairs)))
         self.matrix[self.row[bucket], unit] = weight
         self.matrix /= np.maximum(np.sqrt((self.matrix**2).sum(axis=0)), 1e-300)
+        self.lengths = [int(n) for n in np.unique(np.diff(rows)) if n]
 
     def cosines(self, unit: np.ndarray, bucket: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """The greatest cosine of each unit and the template that has it."""
@@ -120,10 +129,47 @@ class Templates:
         return best, which
 
 
+    def windows(self, bucket: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cosine, template) of the windows within rows that reach the threshold.
+
+        A word's weight grows by at most its idf with each repetition, which bounds the product
+        from above; the square of ``1 + ln tf`` is at least tf times its ratio at the window's
+        length (or 1), which bounds the norm from below.
+        """
+        at = self.row[bucket]
+        hit = at >= 0
+        square = np.concatenate([[0.0], np.cumsum(self.idf[bucket] ** 2)])
+        might = {n: np.zeros(max(len(bucket) - n + 1, 0), bool) for n in self.lengths}
+        least = {n: threshold * np.sqrt(np.maximum(square[n:] - square[:-n], 0) * min(1.0, (1 + np.log(n)) ** 2 / n)) - 1e-6 for n in self.lengths if n <= len(bucket)}
+        for t in range(self.matrix.shape[1]):
+            part = np.zeros(len(bucket))
+            part[hit] = self.matrix[at[hit], t] * self.idf[bucket[hit]]
+            part = np.concatenate([[0.0], np.cumsum(part)])
+            for n, goal in least.items():
+                might[n] |= part[n:] - part[:-n] >= goal
+        out = []
+        for n in least:
+            first = np.flatnonzero(might[n] & (row[: len(row) - n + 1] == row[n - 1 :]))
+            for i in range(0, len(first), WINDOWS):
+                some = first[i : i + WINDOWS]
+                words = (some[:, None] + np.arange(n)).ravel()
+                best, which = self.cosines(np.repeat(np.arange(len(some)), n), bucket[words], len(some))
+                ok = best >= threshold
+                out.append((row[some[ok]], best[ok], which[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+
+
+def _best_of(owner: np.ndarray, score: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best unit of each row that has any, of equals that of the first name."""
+    order = np.lexsort((which, -np.round(score, 12), owner))
+    first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+    return owner[first], score[first], which[first]
+
+
 def _scanner(shared, threshold: float):
     def run(text: pa.Array) -> pa.Array:
         t = shared.value
-        names, scores = [], []
+        labels, names, scores = np.array(t.names), [], []
         for _, raw, at in K.chunks(K.lower(text)):
             bucket, rows, starts = _buckets(raw, at)
             row = K.row_ids(rows)
@@ -136,12 +182,12 @@ def _scanner(shared, threshold: float):
                 line_best, line_which = t.cosines(line, bucket, len(line_values))
                 owner = np.zeros(len(line_values), np.int64)
                 owner[line] = row
-                # the best line of each row, of equals that of the first name
-                order = np.lexsort((line_which, -np.round(line_best, 12), owner))
-                first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-                r = owner[first]
-                better = (line_best[first] > best[r] + 1e-12) | ((np.abs(line_best[first] - best[r]) <= 1e-12) & (line_which[first] < which[r]))
-                best[r[better]], which[r[better]] = line_best[first][better], line_which[first][better]
+                r, score, name = _best_of(owner, line_best, line_which)
+                better = (score > best[r] + 1e-12) | ((np.abs(score - best[r]) <= 1e-12) & (name < which[r]))
+                best[r[better]], which[r[better]] = score[better], name[better]
+                r, score, name = _best_of(*t.windows(bucket, row, threshold))
+                better = (best[r] < threshold) | ((score > best[r] + 1e-12) & (labels[name] != labels[which[r]]))
+                best[r[better]], which[r[better]] = score[better], name[better]
             scores.append(np.minimum(best, 1.0))
             names += [t.names[w] if s >= threshold else None for s, w in zip(best.tolist(), which.tolist())]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], names=["license", "score"])
