@@ -120,3 +120,23 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] or 0, r["text"] is None, r["kept"]) for r in op.texts(df).collect()))
     assert got == [(0, False, 1), (1, True, 0), (2, False, 0), (3, False, 0), (4, False, 1), (5, False, 1), (5, False, 1)]
     assert op.texts(df.where("false")).count() == 0
+
+
+RUSSIAN = "Кошка живёт в старом доме у реки, а собака сторожит двор и каждый вечер ждёт хозяина у ворот. " * 4
+CHINESE = "这座城市的历史可以追溯到两千多年以前，当时人们沿着河流定居，建造了第一批房屋和市场。" * 8
+POLISH = "Stary zamek stoi nad rzeką od wielu stuleci, lecz dopiero niedawno otwarto jego bramy dla zwiedzających z całego kraju. " * 4
+
+
+@pytest.mark.parametrize(("tag", "text"), [(tag, text) for tag in ("<html lang=xx>", "<html>", "") for text in (RUSSIAN, CHINESE, POLISH)] + [("<html lang='en-US'>", RUSSIAN), ("<html lang=fr>", CHINESE)])
+def test_languages_without_a_list_keep_their_text(text, tag):
+    menu = "<ul><li><a href=x>" + text[:150] + "</a></ul>"
+    got, n, kept = op.extract(f"{tag}<body>{menu}<h1>{text[:20]}</h1><p>{text}</p><p>{text[:30]}</p><p>{text}</p>{menu}<p>© {text}</p>")
+    assert got.split("\n") == [x.strip() for x in (text[:20], text, text[:30], text)] and kept == 4 and n == 7
+
+
+def test_known_languages_are_judged_by_their_words():
+    junk = "<p>" + "zzz " * 60 + "</p>"
+    for tag in ("<html lang=en>", "<html>"):
+        assert op.extract(f"{tag}<p>{LONG}</p>{junk}")[0] == LONG.strip()
+    assert op.extract(f"<html lang=en>{junk}")[0] == ""
+    assert op.extract("<p>" + "1 2 3 " * 60 + "</p>")[0] == ""

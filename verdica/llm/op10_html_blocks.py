@@ -4,13 +4,20 @@ A page is cut into blocks at block-level tags and double line breaks; scripts, s
 comments go, entities are resolved, white space is collapsed.  The first pass classifies
 each block by itself, by its length in characters, its link density (share of characters
 inside links) and its stop-word density (share of words that are common words of the
-page's language, of any known language where the page names none):
+page's language; see below):
 
 * link density above ``MAX_LINKS``, or a copyright sign, or inside a form control: bad;
 * under ``SHORT`` characters: bad with any link, else short;
 * stop-word density from ``HIGH``: good from ``LONG`` characters, else near-good;
 * stop-word density from ``LOW``: near-good; otherwise bad.
 
+The density needs the common words of the page's language.  A page that names a language with a
+list is judged by it, unless most of its words (those of all blocks that the density decides)
+aren't in Latin letters; a page that names none by the words of all lists, if ``HIGH`` of its words
+are among them.  For all others, those that name a language without a list too, the density is
+left out: length and links decide, as if every block had ``HIGH``.  So a page of another
+language in Latin letters that wrongly names a listed one is still lost.
+
 The second pass decides the ambiguous: short blocks take the label that their nearest
 decided (good or bad) neighbours agree on; where these differ a short block is good only if
 a near-good one lies on the side of the bad one before it; near-good blocks then are good
@@ -114,16 +121,41 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str | None]:
     return out, language
 
 
-def first_pass(block: tuple[str, int, bool, bool], stops: frozenset) -> str:
-    """good, bad, short or near."""
+def _by_form(block: tuple[str, int, bool, bool]) -> str | None:
+    """bad or short, or None where the words decide."""
     text, in_links, _, dead = block
     density = in_links / len(text)
     if dead or density > MAX_LINKS or "©" in text:
         return "bad"
     if len(text) < SHORT:
         return "bad" if in_links else "short"
+    return None
+
+
+def _latin(word: str) -> bool:
+    return word[0] < "\u02b0" or "\u1e00" <= word[0] < "\u1f00"
+
+
+def stops_of(found: list[tuple[str, int, bool, bool]], language: str | None) -> frozenset | None:
+    """The common words by which a page is judged, None where no list holds for it."""
+    if language and language not in _STOPS:
+        return None
+    words = [w for b in found if _by_form(b) is None for w in _WORD.findall(b[0].lower())]
+    if language:
+        return _STOPS[language] if 2 * sum(map(_latin, words)) >= len(words) else None
+    return _ANY if sum(w in _ANY for w in words) >= HIGH * len(words) else None
+
+
+def first_pass(block: tuple[str, int, bool, bool], stops: frozenset | None) -> str:
+    """good, bad, short or near; without stops by length and links alone."""
+    text = block[0]
+    if (form := _by_form(block)) is not None:
+        return form
     words = _WORD.findall(text.lower())
-    share = sum(w in stops for w in words) / len(words) if words else 0.0
+    if stops is None:
+        share = HIGH if words else 0.0
+    else:
+        share = sum(w in stops for w in words) / len(words) if words else 0.0
     if share >= HIGH:
         return "good" if len(text) >= LONG else "near"
     return "near" if share >= LOW else "bad"
@@ -175,7 +207,7 @@ def extract(page: str | None) -> tuple[str | None, int, int]:
     if page is None:
         return None, 0, 0
     found, language = blocks(page)
-    stops = _STOPS.get(language or "", _ANY)
+    stops = stops_of(found, language)
     good = second_pass(found, [first_pass(b, stops) for b in found])
     kept = [b[0] for b, ok in zip(found, good) if ok]
     return "\n".join(kept), len(found), len(kept)
