@@ -77,3 +77,14 @@ def test_odd_rows(spark):
     pages = df.withColumnRenamed("bad", "doc_id")
     labels = spark.createDataFrame([(1, 0, 0, "u"), (None, 1, 1, "u")], "doc_id long, quality int, toxic int, url string")
     assert op.outcomes(pages, labels).count() == 5
+
+
+def test_numbers_of_any_bigint_are_labelled(spark):
+    numbers = {"7": 7, "007": 7, "999999999": 999999999, "1000000000": 10**9, "12345678901.html": 12345678901, "9223372036854775807/?x#y": 2**63 - 1, "9223372036854775808": None, "1" * 30: None, "0": None, "x": None, "": None}
+    pages = spark.createDataFrame([(i, f"http://a.com/{u}") for i, u in enumerate(numbers)] + [(99, None)], "page_id int, url string")
+    ids = sorted({n for n in numbers.values() if n})
+    labels = spark.createDataFrame([(n, k % 2, 0) for k, n in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["bad"] for r in op.outcomes(pages, labels).collect()}
+    assert got == {i: None if n is None else ids.index(n) % 2 == 0 for i, n in enumerate(numbers.values())} | {99: None}
+    small = labels.where("doc_id < 2000000000").withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert op.outcomes(pages, small).where("bad is not null").count() == 4

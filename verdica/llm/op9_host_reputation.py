@@ -16,7 +16,7 @@ plain SQL; the html is never read.
 
 Defined cases: a url without a host (null, empty, malformed) has host null and is judged
 as a group of its own without parents but the whole; a url's label is that of the row it
-is joined to, null is unlabelled; repeated rows count each; without any label nothing is
+is joined to, null is unlabelled, as is a number beyond the type of doc_id; repeated rows count each; without any label nothing is
 rejected; an empty table gives an empty one.
 """
 
@@ -112,10 +112,10 @@ def keep(pages: DataFrame, **options) -> DataFrame:
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Pages with ``bad`` from the labels of the documents that their urls number (null without one)."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(pages["url"], r"/([0-9]{1,9})(?:\.html)?/?(?:[?#].*)?$", 1), F.lit("")), F.lit("999999999"))
+    number = F.regexp_extract(pages["url"], r"/([0-9]+)(?:\.html)?/?(?:[?#].*)?$", 1).try_cast("bigint")
     marks = require(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(((F.min("quality") < 1) | (F.max("toxic") > 0)).alias("bad"))
     marks = Scratch(pages.sparkSession, "outcomes").table(marks, "labels")
-    out = require(pages, "page_id", "url").withColumn("_doc", number.cast(kind(labels, "doc_id")))
+    out = require(pages, "page_id", "url").withColumn("_doc", number.try_cast(kind(labels, "doc_id")))
     return out.join(sized(marks), F.col("_doc") == F.col("doc_id"), "left").select("page_id", "url", "bad")
 
 
