@@ -263,3 +263,11 @@ def test_the_scanner_needs_no_model_libraries():
 
     code = "import sys; import verdica.functions.latex, verdica.functions.extract, verdica.sources.scorers; assert not {'torch', 'transformers', 'sympy', 'datasets'} & set(sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1])).returncode == 0
+
+
+def test_reports_show_every_question(spark):
+    rows = spark.range(1200).selectExpr("id as index", "'p' as problem", "'1' as expected", "id % 2 = 0 as ok")
+    page = report.render(report.collect_payload(rows))
+    assert page.count("<details") == 1200 and "The first" not in page
+    page = report.render(report.collect_payload(rows, questions=10))
+    assert page.count("<details") == 10 and "The first 10 of 1200." in page

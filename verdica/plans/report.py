@@ -1,7 +1,8 @@
 """A self-contained page from small aggregates: no script, no address outside.
 
 Everything here is collected already; only ``collect_payload`` touches tables, and what it
-takes from them is bounded (aggregates, and the first ``questions`` rows).
+takes from them are aggregates, and all rows for the questions: the page grows with the run.
+A caller may bound them to the first ``questions`` rows, which the page then says.
 """
 
 from __future__ import annotations
@@ -191,8 +192,8 @@ def comparison_section(c: dict | None) -> str:
     return _section("Comparison", f"<table>{a}</table><h3>Agreement</h3><table>{g}</table><h3>Where they differ</h3><table><tr><th>position</th><th>right</th><th>wrong</th></tr>{d}</table>")
 
 
-def questions_section(rows: list[dict]) -> str:
-    out = []
+def questions_section(rows: list[dict], of: int | None = None) -> str:
+    out = [f"<p>The first {len(rows)} of {of}.</p>"] if of is not None and of > len(rows) else []
     for r in rows:
         steps = "".join(f'<li style="border-color:{hue(s)}">{esc(t)}</li>' for t, s in zip(r.get("steps") or [], [*(r.get("step_scores") or []), *[None] * len(r.get("steps") or [])]))
         out.append(
@@ -212,7 +213,7 @@ def render(payload: dict) -> str:
         [
             banner, cards(s), _section("By subject", bars(payload.get("by_subject", []), "Accuracy by subject")), _section("By difficulty", bars(payload.get("by_difficulty", []), "Accuracy by difficulty")),
             _section("Subject by difficulty", heatmap(payload.get("cross_tab", []), "Accuracy")), calibration_section(payload), selection_section(payload), comparison_section(payload.get("comparison")),
-            questions_section(payload.get("questions", [])),
+            questions_section(payload.get("questions", []), s.get("questions")),
         ]
     )
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Evaluation of {esc(s.get("model") or "a model")}</title><style>{STYLE}</style></head><body><h1>Evaluation of {esc(s.get("model") or "a model")}</h1>{body}</body></html>'
@@ -231,7 +232,7 @@ def _dicts(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def collect_payload(rows: DataFrame, about: dict | None = None, samples: DataFrame | None = None, runs: DataFrame | None = None, questions: int = 1000) -> dict:
+def collect_payload(rows: DataFrame, about: dict | None = None, samples: DataFrame | None = None, runs: DataFrame | None = None, questions: int | None = None) -> dict:
     """Aggregates of result rows: (index, problem, expected, subject, difficulty, predicted, matched, ok, milli, tokens).
 
     Whatever an older table lacks is null: the aggregates are always made anew from the rows.
@@ -246,8 +247,9 @@ def collect_payload(rows: DataFrame, about: dict | None = None, samples: DataFra
     out["bins"] = sorted(_dicts(stats.calibration_bins(rows)), key=lambda r: r["bin"])
     out["histogram"] = _dicts(stats.score_histogram(rows))
     out["selection"] = _dicts(selection.selection_accuracy(samples)) if samples is not None else []
-    shown = rows.orderBy("index").limit(questions).select("index", "problem", "expected", "predicted", "ok", (F.col("milli") / 1000).alias("score"), "steps", "step_scores")
-    out["questions"] = _dicts(shown)
+    ordered = rows.orderBy("index") if questions is None else rows.orderBy("index").limit(questions)
+    shown = ordered.select("index", "problem", "expected", "predicted", "ok", (F.col("milli") / 1000).alias("score"), "steps", "step_scores")
+    out["questions"] = [r.asDict(recursive=True) for r in shown.toLocalIterator()]
     if runs is not None:
         out["comparison"] = {"accuracy": _dicts(compare.accuracy(runs)), "agreement": _dicts(compare.agreement(runs)), "divergences": _dicts(compare.top_divergences(runs))}
     return out
