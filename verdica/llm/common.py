@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids up to which a side is broadcast (16 MB of longs); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Estimated bytes up to which a side is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Rows of text that a Python worker is handed at a time.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -18,13 +18,16 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests, a laptop) is a temporary one made and set.
+    Where the session names none, a temporary one is made and set in local mode only (tests, a
+    laptop).  On a cluster each machine would have its own, so that is an error.
     """
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         have = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not have:
         made = spark.sparkContext.getCheckpointDir()
+        if not made and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         have = made if made else "file://" + tempfile.mkdtemp(prefix="verdica-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
@@ -34,12 +37,20 @@ class Scratch:
     """Intermediate tables, written once as Parquet in the shared folder and read back.
 
     Writing cuts the lineage, survives the loss of executors, and computes each
-    intermediate once however often the plan uses it.
+    intermediate once however often the plan uses it.  A lazy result may read some of
+    them, so these last until the session ends; then the folder is deleted.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/verdica/{name}-{uuid.uuid4().hex}"
+        self._files().deleteOnExit(self._path())
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes and rereads.  Python gets small batches meanwhile: texts are long, and memory is shared."""
@@ -54,16 +65,20 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Removes tables that nothing lazy refers to any longer."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._files().delete(self._path(name), True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What a table takes in memory: 16 bytes a row, 8 a field, and the bytes of texts and binaries."""
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "varchar", "char")]
+    size = sum((F.coalesce(F.octet_length(df[c]).cast("bigint"), F.lit(0)) for c in texts), F.lit(16 + 8 * len(df.columns)).cast("bigint"))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is estimated at most ``limit`` bytes, else as it is (a shuffled join)."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,21 +95,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Minimum labels spread along the edges, with a pointer jump in each round, so that the
     rounds grow with the logarithm of a component's diameter.  Every round is written down.
+    Ids are of any type that can be ordered.
     """
     both = scratch.table(
         edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         f"{name}-edges",
     )
-    labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
-    before, step = None, 0
-    while True:
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if total is None or total == before:
-            return labels
-        before, step = total, step + 1
+    labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumn("moved", F.lit(True)), f"{name}-0")
+    step = 0
+    while not labels.where("moved").isEmpty():
+        step += 1
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        own = labels.join(near, "id").select("id", F.least("label", "near").alias("label"))
+        own = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        labels = scratch.table(own.join(up, "label", "left").select("id", F.least("label", F.coalesce("above", "label")).alias("label")), f"{name}-{step}")
-        if step > 1:
-            scratch.drop(f"{name}-{step - 2}")
+        moved = own.join(up, "label", "left").select("id", "was", F.least("label", F.coalesce("above", "label")).alias("label"))
+        labels = scratch.table(moved.select("id", "label", (F.col("label") != F.col("was")).alias("moved")), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}")
+    return labels.drop("moved")

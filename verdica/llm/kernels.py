@@ -4,13 +4,15 @@ All operators of this subpackage share one notion of a word and one family of
 64-bit hashes, so that brute-force tests can restate them in a few lines:
 
 * text is lower-cased by Arrow (``utf8_lower``) where an operator asks for it;
-* a *word* is a maximal run of ASCII letters, digits and non-ASCII bytes;
+* a *word* is a maximal run of ASCII letters, digits and non-ASCII bytes (one of more than
+  ``CHUNK_BYTES`` counts as several of that length, so that no single word needs unbounded room);
 * the hash of a byte span is ``sum((byte + 1) * R**i) mod 2**64``, finished by
   the splitmix64 mixer;
 * the hash of k consecutive words is a polynomial of their hashes, mixed again.
 
-Null text reads as empty text.  Every function takes whole texts; a batch is cut
-only between rows, to bound the temporaries.
+Null text reads as empty text.  Every function takes whole texts.  A batch is cut between rows;
+a row beyond ``CHUNK_BYTES`` comes alone and is worked off in pieces, so temporaries are
+bounded and only the hashes of a text's words (about as many bytes as its own) are held at once.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Hashes that are worked on at a time where a row has more.
+BLOCK = 1 << 18
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -61,6 +65,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.uint64)
     if not x.ndim:
         return mix(x[None])[0]
+    if len(x) > 4 * BLOCK:
+        out = np.empty_like(x)
+        for i in range(0, len(x), BLOCK):
+            out[i : i + BLOCK] = mix(x[i : i + BLOCK])
+        return out
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -129,8 +138,25 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * _power(_R_INV, "down", len(raw) + 1)[starts])
 
 
+def pieces(raw: np.ndarray, member: np.ndarray, limit: int | None = None):
+    """(start, end) of stretches of a long row, cut at bytes that aren't members; a run of members longer than the limit is cut at it."""
+    limit = limit or CHUNK_BYTES
+    at = 0
+    while at < len(raw):
+        end = min(at + limit, len(raw))
+        if end < len(raw) and member[raw[end - 1]] and member[raw[end]]:
+            free = np.flatnonzero(~member[raw[at:end]])
+            end = at + int(free[-1]) + 1 if len(free) else end
+        yield at, end
+        at = end
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the offsets of rows among them."""
+    if len(at) == 2 and len(raw) > CHUNK_BYTES:
+        found = [words(raw[i:j], np.array([0, j - i]))[0] for i, j in pieces(raw, WORD)]
+        hashes = np.concatenate(found)
+        return hashes, np.array([0, len(hashes)])
     starts, ends, rows = spans(WORD[raw], at)
     return span_hashes(raw, starts, ends), rows
 
@@ -152,6 +178,16 @@ def grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(total[first] + np.uint64(k)), np.searchsorted(first, rows), first
 
 
+def gram_blocks(hashes: np.ndarray, rows: np.ndarray, k: int):
+    """What ``grams`` gives, in blocks where a single row has very many words; offsets and first words count from the row's start."""
+    if len(rows) != 2 or len(hashes) <= 2 * BLOCK:
+        yield grams(hashes, rows, k)
+        return
+    for i in range(0, len(hashes) - k + 1, BLOCK):
+        g, at, first = grams(hashes[i : i + BLOCK + k - 1], np.array([0, len(hashes[i : i + BLOCK + k - 1])]), k)
+        yield g, at, first + i
+
+
 def row_ids(rows: np.ndarray) -> np.ndarray:
     """The row of each element, from the offsets of rows."""
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))
@@ -161,7 +197,17 @@ def occurrences(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """How many equal elements precede each within its row."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    key = hashes ^ mix(row_ids(rows).astype(np.uint64) + np.uint64(77))
+    if len(rows) == 2 and len(hashes) > 4 * BLOCK:  # one row: elements of unlike lowest bits can't be equal
+        out = np.empty(len(hashes), np.uint32)
+        low = (hashes & np.uint64(63)).astype(np.uint8)
+        for part in range(64):
+            mine = np.flatnonzero(low == part)
+            out[mine] = _runs(hashes[mine])
+        return out
+    return _runs(hashes ^ mix(row_ids(rows).astype(np.uint64) + np.uint64(77)))
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     new = np.ones(len(key), bool)
