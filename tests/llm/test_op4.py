@@ -4,6 +4,9 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pyarrow as pa
+
+from verdica.llm import kernels as K
 from verdica.llm import op4_order_minhash as op
 
 from invented import words
@@ -90,6 +93,69 @@ def test_recall_against_all_pairs(spark):
         assert sum(mine[a] == mine[b] for a, b in some) >= 0.9 * len(some)
 
 
+def test_groups_equal_those_of_all_pairs(spark):
+    """Copies in clusters, a passage in many unlike documents: the groups are those of brute force."""
+    rng = random.Random(12)
+    docs, passage = [], words(rng, 50)
+    for n in (2, 3, 5, 40):
+        base = words(rng, 90)
+        docs += [base, *(edited(rng, base, 0.03) for _ in range(n - 1))]
+    docs += [words(rng, 20) + " " + passage + " " + words(rng, 20) for _ in range(60)]
+    rng.shuffle(docs)
+    docs = [(f"d{i:04d}", t) for i, t in enumerate(docs)]
+    truth = groups(brute_pairs(docs), [i for i, _ in docs])
+    table = spark.createDataFrame(docs, "doc_id string, text string")
+    expected = {i: k for i, k in truth.items() if i != k}
+    assert {r["doc_id"]: r["keeper"] for r in op.duplicates(table).collect()} == expected
+    assert {r["doc_id"] for r in op.keep_one(table).collect()} == set(truth.values())
+
+
+def test_blocks_of_a_bucket_compare_all(spark, monkeypatch):
+    rng = random.Random(13)
+    base = words(rng, 60)
+    docs = list(enumerate([words(rng, 3) + " " + base + " " + words(rng, 60) for _ in range(25)] + [edited(rng, base, 0.15) for _ in range(25)]))
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    whole = sorted(map(tuple, op.duplicates(table).collect()))
+    monkeypatch.setattr(op, "BLOCK_ROWS", 3)
+    assert sorted(map(tuple, op.duplicates(table).collect())) == whole and whole
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 30), words(rng, 30)
+    low, high = sorted([a, b])
+    rows = [(1, low, "x"), (2, high, "z"), (2, low, "y"), (2, low, "w"), (3, high, "v"), (4, None, "u"), (4, None, "t"), (None, low, "s"), (None, low, "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(5)
+    assert [tuple(r) for r in op.duplicates(table).collect()] == [(2, 1)]
+    assert sorted(map(tuple, op.keep_one(table).collect()), key=repr) == sorted([(1, low, "x"), (3, high, "v"), (4, None, "t"), (None, low, "s"), (None, low, "s")], key=repr)
+    alone = table.where("doc_id = 2")
+    assert [tuple(r) for r in op.keep_one(alone).collect()] == [(2, low, "w")]
+
+
+def test_a_long_row_is_sketched_as_in_one_piece(monkeypatch):
+    rng = random.Random(15)
+    text = pa.array([words(rng, 3000) + " " + "x" * 90 + " " + words(rng, 3000)])
+
+    def made():
+        (_, raw, at), = K.chunks(text)
+        hashes, rows = K.words(raw, at)
+        return op.sketch_rows(hashes, rows, 16, 4), op.whole_hash(hashes, rows, 11), op.bitmaps(hashes, rows)
+
+    whole = made()
+    monkeypatch.setattr(K, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(K, "BLOCK", 64)
+    assert all((a == b).all() for a, b in zip(whole, made()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=20), st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=20))
+def test_bitmaps_bound_the_distance(a, b):
+    _, raw, at = next(K.chunks(pa.array([" ".join(a), " ".join(b)])))
+    x, y = op.bitmaps(*K.words(raw, at)).view("uint64").tolist()
+    lacking = max(sum((i & ~j).bit_count() for i, j in zip(x, y)), sum((j & ~i).bit_count() for i, j in zip(x, y)))
+    assert lacking <= distance(a, b)
+
+
 def test_order_matters(spark):
     rng = random.Random(4)
     parts = [words(rng, 40) for _ in range(4)]
