@@ -140,3 +140,122 @@ def test_known_languages_are_judged_by_their_words():
         assert op.extract(f"{tag}<p>{LONG}</p>{junk}")[0] == LONG.strip()
     assert op.extract(f"<html lang=en>{junk}")[0] == ""
     assert op.extract("<p>" + "1 2 3 " * 60 + "</p>")[0] == ""
+
+
+class Whole(HTMLParser):
+    """Blocks as (text, characters in links, heading, in the head or a control) by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.found, self.now, self.linked = [], "", ""
+        self.skip, self.links, self.heading, self.head, self.control, self.breaks = 0, 0, False, False, 0, 0
+        self.language = None
+        self.feed(html)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text = " ".join(self.now.split())
+        if text:
+            self.found.append((text, len(" ".join(self.linked.split())), self.heading, self.head or self.control > 0))
+        self.now, self.linked, self.breaks = "", "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in op._HIDDEN
+        if tag == "br":
+            self.breaks += 1
+        elif tag == "a":
+            self.links += 1
+        elif tag in op._BLOCK and tag not in op._HIDDEN:
+            self.cut()
+            self.heading = bool(re.fullmatch("h[1-6]", tag))
+            self.control += tag in ("select", "textarea")
+            self.head = tag == "head" or (self.head and tag == "title")
+            self.control *= tag != "body"
+            self.links *= tag not in ("body", "nav", "article", "footer")
+            if tag == "html":
+                self.language = (dict(attrs).get("lang") or "")[:2].lower() or self.language
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in op._HIDDEN
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        elif tag in op._BLOCK and tag not in op._HIDDEN:
+            self.cut()
+            self.heading = False
+            self.control = max(0, self.control - (tag in ("select", "textarea")))
+            self.head = self.head and tag != "head"
+            self.links *= tag not in ("body", "nav", "article", "footer")
+
+    def handle_data(self, data):
+        if self.skip:
+            return
+        if self.breaks and data.strip():
+            if self.breaks > 1:
+                self.cut()
+            self.now, self.breaks = self.now + " ", 0
+        self.now += data
+        self.linked += data if self.links else ""
+
+
+def brute_text(html):
+    """The rules said anew: parser, thresholds, neighbours, headings."""
+    w = Whole(html)
+    words = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    form = [("bad" if dead or links > op.MAX_LINKS * len(text) or "©" in text else ("bad" if links else "short") if len(text) < 70 else None) for text, links, _, dead in w.found]
+    open_words = [x for f, b in zip(form, w.found) if f is None for x in words(b[0])]
+    lists = {k: set(v.split()) for k, v in op.STOP_WORDS.items()}
+    if w.language:
+        stops = lists.get(w.language) if 2 * sum(x[0] < "ʰ" or "Ḁ" <= x[0] < "ἀ" for x in open_words) >= len(open_words) else None
+    else:
+        stops = set().union(*lists.values())
+        stops = stops if sum(x in stops for x in open_words) >= 0.2 * len(open_words) else None
+    labels = []
+    for f, (text, _, _, _) in zip(form, w.found):
+        mine = words(text)
+        share = (0.2 if stops is None else sum(x in stops for x in mine) / len(mine)) if mine else 0
+        labels.append(f or (("good" if len(text) >= 200 else "near") if share >= 0.2 else "near" if share >= 0.1 else "bad"))
+    good = brute_second(labels)
+    for i in reversed(range(len(good))):
+        if w.found[i][2] and labels[i] in ("short", "near") and not good[i]:
+            between = 0
+            for j in range(i + 1, len(good)):
+                if good[j]:
+                    good[i] = True
+                if good[j] or (between := between + len(w.found[j][0])) > 200:
+                    break
+    return "\n".join(b[0] for b, ok in zip(w.found, good) if ok), len(good), sum(good)
+
+
+def test_whole_pages_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    extra = [page(f"<h1>Short head</h1><p>{LONG[:90]}</p>", f"<p>{LONG}</p>", "<p>tiny</p><p>© x</p>", f"<select><option>{LONG}</select><p>{LONG[:60]}<br><br>{LONG}"), f"<head><title>T</title><p>{LONG}", f"<h2>a b</h2><p>{RUSSIAN}</p>"]
+    more = spark.createDataFrame([(10**6 + i, "u", h) for i, h in enumerate(extra)], "page_id long, url string, html string")
+    both = rows.unionByName(more)
+    got = {r["page_id"]: (r["text"], r["blocks"], r["kept"]) for r in op.texts(both).collect()}
+    assert got == {r["page_id"]: brute_text(r["html"]) for r in both.collect()}
+
+
+def test_heads_without_an_end():
+    for start in ("<head><title>T</title>", "<html><head><meta x><title>T</title>\n", "<head><title>T"):
+        text, _, kept = op.extract(f"{start}<p>{LONG}</p>")
+        assert kept == 1 and text == LONG.strip()
+    assert op.extract(f"<head>{LONG}")[2] == 1 and op.extract(f"<head><title>{LONG}</title></head><p>{LONG}")[2] == 1
+
+
+@pytest.mark.parametrize("unit", ['<a "x ', '<a ="x ', "<a =\">", "<a ='\">", "<", "<a", "</", "<!-", "<p>", "<script></script ", "<br>x", '<a b="<c \'>'])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    for tail in ("", ">"):
+        bad = unit * (2_000_000 // len(unit)) + tail
+        began = time.process_time()
+        op.extract(bad)
+        assert time.process_time() - began < 4
+
+
+def test_quotes_and_brackets():
+    names = lambda html: [b[0] for b in op.blocks(html)[0]]
+    assert names("<p class=\"a>b\">x</p><p title='<p>y'>z</p>") == ["x", "z"]
+    assert names('<p title="never closed>x</p>') == ["x"] and names("a <b and 1 < 2") == ["a <b and 1 < 2"]
+    assert names('<p it"s>x</p>') == ["x"] and names("x<p title='>") == ["x"] and names("x<p a='>' b") == ["x"]

@@ -25,8 +25,11 @@ unless both neighbours are bad.  The page's edge counts as bad.  Headings are ju
 as short blocks are, and also where a good block follows within ``HEADING`` characters.
 
 Defined cases: null and empty html give null and empty text; a page of no tags is one
-block; unclosed tags, comments and scripts end with the page; a page without good blocks
-has empty text; repeated rows are extracted each.
+block; unclosed comments and scripts end with the page, and so does a tag whose bracket only
+quoted values hold; a quote that is never closed is a sign like any other; ``<`` before a page
+without further ``>`` is text; a head without an end tag ends with the first text or tag that can't
+stand in it, and so does its title's block with the title; a page without good blocks
+has empty text; repeated rows are extracted each.  Time is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -55,52 +58,108 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noframes noscript ol optgroup option p pre section select table tbody td textarea tfoot th thead title tr ul".split()
 )
 _HIDDEN = ("script", "style", "noscript", "template", "svg")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _HIDDEN}
-_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
+#: What may stand in a head; the start of anything else, or text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: A tag without angle brackets in it; possessive, so that it fails by the next bracket at the latest.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']|\"[^<>\"]*+\"|'[^<>']*+')*+)>")
+_START, _COMMENT = re.compile("<(?=[A-Za-z/!?])"), re.compile("<(?=[!?])")
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_VALUE = re.compile(r"=\s*+([\"'])")
+_CLOSE = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _HIDDEN}
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]{2})", re.I)
 _SPACES = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Tags:
+    """The tags of a page, from left to right, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self._without: dict[str, bool] = {}
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """(start, end, name, closing, attributes) of the next mark-up; name None for a comment, start at the page's end for none."""
+        page = self.page
+        while True:
+            found = (_START if at < self.last else _COMMENT).search(page, at)
+            if not found:
+                return len(page), len(page), None, False, ""
+            start = found.start()
+            if m := _TAG.match(page, start):
+                return start, m.end(), m[2].lower(), bool(m[1]), m[3]
+            if page[start + 1] in "!?":
+                return start, self._end_of_comment(start), None, False, ""
+            if m := _NAME.match(page, start):
+                end = self._end_of_tag(m.end())
+                return start, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+            at = start + 1
+
+    def _end_of_comment(self, start: int) -> int:
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+            if self.page.startswith(opening, start):
+                end = self.page.find(closing, start + len(opening))
+                return len(self.page) if end < 0 else end + len(closing)
+        return len(self.page)
+
+    def _end_of_tag(self, at: int) -> int:
+        """After the bracket that no quoted value holds; the page's end where there is none."""
+        page, end = self.page, -1
+        while True:
+            if end < at:
+                end = page.find(">", at)
+            if end < 0:
+                return len(page)
+            m = _VALUE.search(page, at, end)
+            if not m or self._without.get(m[1]):
+                return end + 1
+            close = page.find(m[1], m.end())
+            if close < 0:  # a quote that is never closed is a sign like any other, here and further on
+                self._without[m[1]] = True
+                continue
+            at = close + 1
+
+
 def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str | None]:
     """((text, characters in links, heading, inside head or select), ...) and the page's language."""
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    links, breaks, heading, dead, language = 0, 0, False, 0, None
+    links, breaks, heading, dead, head, title, language = 0, 0, False, 0, False, False, None
 
     def flush() -> None:
         nonlocal parts, linked, breaks
         text = _SPACES.sub(" ", _html.unescape("".join(parts))).strip()
         if text:
             in_links = len(_SPACES.sub(" ", _html.unescape("".join(linked))).strip()) if linked else 0
-            out.append((text, in_links, heading, dead > 0))
+            out.append((text, in_links, heading, head or dead > 0))
         parts, linked, breaks = [], [], 0
 
+    tags = _Tags(page)
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
+        stop, after, name, closing, attributes = tags.next(at)
         if stop > at:
             piece = page[at:stop]
-            if breaks and piece.strip():
+            if (breaks or (head and not title)) and not piece.isspace():
+                if head and not title:
+                    head = False
                 if breaks > 1:
                     flush()
-                else:
+                elif breaks:
                     parts.append(" ")
                 breaks = 0
             parts.append(piece)
             if links:
                 linked.append(piece)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
+        at = after
         if name is None:
             continue
-        name, closing = name.lower(), bool(m[1])
+        if head and not closing and name not in _IN_HEAD:
+            flush()
+            head = False
         if name in _CLOSE and not closing:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 close = _CLOSE[name].search(page, at)
                 at = close.end() if close else end
         elif name == "br":
@@ -110,12 +169,16 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str | None]:
         elif name in _BLOCK:
             flush()
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
-            if name in ("head", "select", "textarea"):
+            if name == "head":
+                head, title = not closing, False
+            elif name == "title":
+                title = not closing
+            elif name in ("select", "textarea"):
                 dead = max(0, dead - 1) if closing else dead + 1
             if name == "body" and not closing:
                 dead = 0
             links = 0 if name in ("body", "nav", "article", "footer") else links
-            if name == "html" and not closing and (found := _LANG.search(m[3])):
+            if name == "html" and not closing and (found := _LANG.search(attributes)):
                 language = found[1].lower()
     flush()
     return out, language
