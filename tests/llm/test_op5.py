@@ -9,8 +9,15 @@ from verdica.llm import op5_license_scan as op
 T = op.TEMPLATES
 
 
+BUCKET = {}
+
+
 def tokens(text):
-    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    """The buckets of a text's words."""
+    found = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    for w in set(found) - BUCKET.keys():
+        BUCKET[w] = int(op._buckets(*op.K.view(op.pa.array([w])))[0][0])
+    return [BUCKET[w] for w in found]
 
 
 def brute(texts):
@@ -22,31 +29,44 @@ def brute(texts):
     idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
 
     def vector(text):
-        ws = tokens(text)
+        ws = tokens(text) if isinstance(text, str) else text
         v = {w: (1 + math.log(ws.count(w))) * idf(w) for w in set(ws)}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
-    models = [(name, vector(t)) for name, t in sorted((n, t) for n, ts in T.items() for t in ts)]
+    models = [(name, vector(t), len(tokens(t))) for name, ts in T.items() for t in ts]
     out = []
     for text in texts:
-        best = (0.0, None)
+        best, ws = {}, tokens(text or "")
         for unit in [text or "", *(text or "").split("\n")]:
             v = vector(unit)
-            for name, m in models:
-                c = sum(x * m.get(w, 0) for w, x in v.items())
-                if c > best[0] + 1e-12 or (abs(c - best[0]) <= 1e-12 and best[1] and name < best[1]):
-                    best = (c, name)
-        out.append((best[1] if best[0] >= op.THRESHOLD else None, best[0]))
+            for k, (_, m, _) in enumerate(models):
+                best[k] = max(best.get(k, 0), sum(x * m.get(w, 0) for w, x in v.items()))
+        for k, (_, m, size) in enumerate(models):
+            for i in range(len(ws) - size + 1):
+                c = sum(x * m.get(w, 0) for w, x in vector(ws[i : i + size]).items())
+                best[k] = max(best[k], c if c >= op.THRESHOLD else 0)
+        top = max(best.values())
+        close = [models[k] for k in best if best[k] >= top - op.MARGIN]
+        longest = sorted({name for name, _, size in close if size == max(c[2] for c in close)})
+        out.append((common(longest) if top >= op.THRESHOLD else None, top))
     return out
 
 
+def common(names):
+    parts, k = [n.split("-") for n in names], 0
+    while all(len(p) > k and p[k] == parts[0][k] for p in parts):
+        k += 1
+    return "-".join(parts[0][:k]) or names[0]
+
+
 TEXTS = [
     "alpha beta\nLicensed under the Apache License, Version 2.0.\ngamma delta of the",
     "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy",
     "nothing of the kind here, in the text or any",
     "This work is licensed under the GNU General Public License, version 3.",
     "see the licence of the version for use",
+    "one two GNU General Public License, version of any kind three",
     "Licensed under CC BY-NC 4.0.",
     "LICENSED UNDER CC BY 4.0.\n" * 3,
     "", None, "\n\n",
@@ -110,12 +130,52 @@ def test_no_window_is_lost_by_the_bounds():
     idf = rng.uniform(1, 9, op.DIMENSIONS)
     t = op.Templates(T, idf)
     vocabulary = np.append(np.flatnonzero(t.row >= 0), [1, 2, 3])
-    bucket, row = vocabulary[rng.integers(0, 9, 400) + np.repeat(rng.integers(0, len(vocabulary) - 9, 20), 20)], np.repeat(np.arange(4), 100)
+    bucket, row = vocabulary[rng.integers(0, 9, 1000) + np.repeat(rng.integers(0, len(vocabulary) - 9, 50), 20)], np.repeat(np.arange(4), 250)
     want = []
-    for n in t.lengths:
+    for k, n in enumerate(t.words.tolist()):
         for i in range(len(bucket) - n + 1):
             if row[i] == row[i + n - 1]:
-                best, which = t.cosines(np.zeros(n, np.int64), bucket[i : i + n], 1)
-                want += [(row[i], best[0], which[0])] if best[0] >= 0.3 else []
-    got = list(zip(*t.windows(bucket, row, 0.3)))
+                cos = next(t.cosines(np.zeros(n, np.int64), bucket[i : i + n], 1, k))[1][0]
+                want += [(k, row[i], round(cos, 12))] if cos >= 0.2 else []
+    got = [(k, r, round(c, 12)) for k, rows, cos in t.windows(bucket, row, 0.2) for r, c in zip(rows.tolist(), cos.tolist())]
     assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+FILLER = "the quick report of the year and its many tables were read by all who had asked for them in the end "
+
+
+@pytest.mark.parametrize("name", sorted(T))
+def test_each_template_is_told_from_its_neighbours(name):
+    """Every wording, alone, within a line of other words, and re-wrapped, gives its own licence."""
+    t = op.Templates(T, np.full(op.DIMENSIONS, 3.0))
+    texts = []
+    for text in T[name]:
+        wrapped = re.sub(r"((?:\S+ ){7})", r"\1\n * ", text)
+        texts += [text, f"{FILLER}{text} {FILLER * 3}", f"Copyright 2020 A. Person\n\n{wrapped}\n{FILLER}"]
+    found, _ = op.scan_texts(op.pa.array(texts), t, op.THRESHOLD)
+    assert found == [name] * len(texts)
+
+
+def test_near_misses():
+    t = op.Templates(T, np.full(op.DIMENSIONS, 3.0))
+    cases = {
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "GPL-3.0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1", "Licensed under the GNU General Public License.": "GPL", FILLER: None, "": None,
+    }
+    found, _ = op.scan_texts(op.pa.array(list(cases)), t, op.THRESHOLD)
+    assert dict(zip(cases, found)) == cases
+
+
+def test_a_long_text_is_scored_as_in_one_piece(monkeypatch):
+    t = op.Templates(T, np.random.default_rng(5).uniform(1, 9, op.DIMENSIONS))
+    middle = T["BSD-2-Clause"][1]
+    text = FILLER * 30 + "\n" + FILLER * 2 + middle + FILLER * 2 + "\n" + "x y\n" * 50 + T["MIT"][0] + "\n" + FILLER * 30
+    raw, at = op.K.view(op.K.lower(op.pa.array([text])))
+    whole = op._short(t, raw, at, 0.6)
+    for chunk, block in ((500, 100), (2000, 4000)):
+        monkeypatch.setattr(op.K, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(op.K, "BLOCK", block)
+        assert op._long(t, raw, 0.6) == pytest.approx(whole, abs=1e-9)

@@ -1,17 +1,17 @@
 """Licence scan by TF-IDF cosine to templates, with inheritance from directories.
 
-A text is scored as a whole and line by line, so that a header within a long file and a
-licence file are both found.  A unit's vector has ``(1 + ln tf) * idf`` for each lower-cased
-word, hashed into ``DIMENSIONS``; the idf comes from the document frequencies of all
-texts: ``ln((1 + texts) / (1 + df)) + 1``.  The greatest cosine of any unit to any template
-counts; from ``THRESHOLD`` the text carries that template's licence.  Of equal scores the
-licence first in the alphabet is taken.
-
-So that a header is also found amid other words of a line, in a text without line breaks or
-across them, all windows of as many words as any template has are scored too.  A window
-counts from ``THRESHOLD``, where text and lines have no licence or another with a lower score.
-All windows are bounded by running sums first; only those that may reach the threshold are
-scored in full, so that none is lost.
+A text is scored as a whole, line by line, and in all its windows of as many words as the
+template has, so that a licence file, a header within a long file, and one amid other words of
+a line or across lines are all found.  A unit's vector has ``(1 + ln tf) * idf`` for each
+lower-cased word, hashed into ``DIMENSIONS``; the idf comes from the document frequencies of all
+texts: ``ln((1 + texts) / (1 + df)) + 1``.  A licence's score is the greatest cosine of any unit
+to any of its templates (of a window, where it reaches ``THRESHOLD``).  All windows are bounded by
+running sums first; only those that may reach the threshold are scored in full, so that none is lost.
+
+From ``THRESHOLD`` the text carries the licence of the best score.  Where templates of others come within
+``MARGIN`` of it, the template of most words decides; of several as long the text carries what
+their names have in common up to a dash (``GPL`` for a notice that fits several versions), or if
+they have nothing the first in the alphabet.
 
 A file whose name is that of a licence file lends its licence to its directory (of
 several the best scored, then the first in the alphabet).  A file without a licence of its
@@ -33,43 +33,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Scratch, require, sized
+from .licenses import TEMPLATES
 
-DIMENSIONS = 1 << 16
+DIMENSIONS = 1 << 18
 THRESHOLD = 0.6
-#: Windows scored in full at a time.
-WINDOWS = 1 << 14
+MARGIN = 0.005
+#: Words of the windows that are scored in full at a time.
+WINDOW_WORDS = 1 << 20
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ terms and conditions for use, reproduction, and distribution",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "CC-BY-4.0": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "BSD-3-Clause": (
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-}
-
 
 def _buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, offsets of rows among words, and where each word starts."""
@@ -82,6 +54,12 @@ def _df_counter(batches):
     for batch in batches:
         texts += batch.num_rows
         for _, raw, at in K.chunks(K.lower(batch.column(0))):
+            if len(at) == 2:  # a long one perhaps
+                seen = np.zeros(DIMENSIONS, bool)
+                for i, j in K.pieces(raw, K.WORD):
+                    seen[_buckets(raw[i:j], np.array([0, j - i]))[0]] = True
+                df += seen
+                continue
             bucket, rows, _ = _buckets(raw, at)
             df += np.bincount(np.unique(K.row_ids(rows) * DIMENSIONS + bucket) % DIMENSIONS, minlength=DIMENSIONS)
     seen = np.flatnonzero(df)
@@ -96,11 +74,12 @@ def _vectors(unit: np.ndarray, bucket: np.ndarray, idf: np.ndarray) -> tuple[np.
 
 
 class Templates:
-    """The templates' unit vectors, with names in the order in which ties are decided."""
+    """The templates' unit vectors, and the licence of each."""
 
     def __init__(self, templates: dict, idf: np.ndarray):
         pairs = sorted((name, text) for name, texts in templates.items() for text in texts)
-        self.names = [n for n, _ in pairs]
+        self.licenses = sorted(templates)
+        self.license = np.array([self.licenses.index(n) for n, _ in pairs])
         self.idf = idf
         self.row = np.full(DIMENSIONS, -1, np.int32)  # buckets that any template has
         raw, at = K.view(K.lower(pa.array([t for _, t in pairs], pa.string())))
@@ -111,86 +90,145 @@ class Templates:
         self.matrix = np.zeros((len(used), len(pairs)))
         self.matrix[self.row[bucket], unit] = weight
         self.matrix /= np.maximum(np.sqrt((self.matrix**2).sum(axis=0)), 1e-300)
-        self.lengths = [int(n) for n in np.unique(np.diff(rows)) if n]
+        self.words = np.diff(rows)
 
-    def cosines(self, unit: np.ndarray, bucket: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The greatest cosine of each unit and the template that has it."""
+    def cosines(self, unit: np.ndarray, bucket: np.ndarray, count: int, only: int | None = None):
+        """(template, cosine of each unit) for all templates, or one."""
         unit, bucket, weight = _vectors(unit, bucket, self.idf)
         norm = np.sqrt(np.bincount(unit, weights=weight**2, minlength=count))
+        return self._products(unit, bucket, weight, norm, only)
+
+    def _products(self, unit, bucket, weight, norm, only=None):
         row = self.row[bucket]
         hit = row >= 0
         unit, weight, row = unit[hit], weight[hit], row[hit]
-        best, which = np.zeros(count), np.zeros(count, np.int64)
-        for t in range(self.matrix.shape[1]):
-            dot = np.bincount(unit, weights=weight * self.matrix[row, t], minlength=count)
-            cos = np.divide(dot, norm, out=np.zeros(count), where=norm > 0)
-            better = cos > best + 1e-12
-            best[better], which[better] = cos[better], t
-        return best, which
+        for t in range(self.matrix.shape[1]) if only is None else (only,):
+            some = self.matrix[row, t] > 0
+            dot = np.bincount(unit[some], weights=weight[some] * self.matrix[row[some], t], minlength=len(norm))
+            yield t, np.minimum(np.divide(dot, norm, out=np.zeros(len(norm)), where=norm > 0), 1.0)
 
+    def of_counts(self, tf: np.ndarray):
+        """The same for one unit, given how often it has each bucket."""
+        bucket = np.flatnonzero(tf)
+        weight = (1 + np.log(tf[bucket])) * self.idf[bucket]
+        return self._products(np.zeros(len(bucket), np.int64), bucket, weight, np.sqrt(np.array([(weight**2).sum()])))
 
-    def windows(self, bucket: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cosine, template) of the windows within rows that reach the threshold.
+    def windows(self, bucket: np.ndarray, row: np.ndarray, threshold: float):
+        """(template, rows, cosines) of the windows within rows that reach the threshold.
 
         A word's weight grows by at most its idf with each repetition, which bounds the product
         from above; the square of ``1 + ln tf`` is at least tf times its ratio at the window's
         length (or 1), which bounds the norm from below.
         """
         at = self.row[bucket]
-        hit = at >= 0
+        hit = np.flatnonzero(at >= 0)
+        hit_row, hit_idf = at[hit], self.idf[bucket[hit]]
         square = np.concatenate([[0.0], np.cumsum(self.idf[bucket] ** 2)])
-        might = {n: np.zeros(max(len(bucket) - n + 1, 0), bool) for n in self.lengths}
-        least = {n: threshold * np.sqrt(np.maximum(square[n:] - square[:-n], 0) * min(1.0, (1 + np.log(n)) ** 2 / n)) - 1e-6 for n in self.lengths if n <= len(bucket)}
-        for t in range(self.matrix.shape[1]):
-            part = np.zeros(len(bucket))
-            part[hit] = self.matrix[at[hit], t] * self.idf[bucket[hit]]
-            part = np.concatenate([[0.0], np.cumsum(part)])
-            for n, goal in least.items():
-                might[n] |= part[n:] - part[:-n] >= goal
-        out = []
-        for n in least:
-            first = np.flatnonzero(might[n] & (row[: len(row) - n + 1] == row[n - 1 :]))
-            for i in range(0, len(first), WINDOWS):
-                some = first[i : i + WINDOWS]
+        within = {n: row[: len(row) - n + 1] == row[n - 1 :] for n in np.unique(self.words).tolist() if 0 < n <= len(bucket)}
+        least = {n: threshold * np.sqrt(np.maximum(square[n:] - square[:-n], 0) * min(1.0, (1 + np.log(n)) ** 2 / n)) - 1e-6 for n in within}
+        part = np.zeros(len(bucket) + 1)
+        for t, n in enumerate(self.words.tolist()):
+            if n not in within:
+                continue
+            part[1:] = 0
+            part[hit + 1] = self.matrix[hit_row, t] * hit_idf
+            total = np.cumsum(part)
+            first = np.flatnonzero((total[n:] - total[:-n] >= least[n]) & within[n])
+            for i in range(0, len(first), max(1, WINDOW_WORDS // n)):
+                some = first[i : i + max(1, WINDOW_WORDS // n)]
                 words = (some[:, None] + np.arange(n)).ravel()
-                best, which = self.cosines(np.repeat(np.arange(len(some)), n), bucket[words], len(some))
-                ok = best >= threshold
-                out.append((row[some[ok]], best[ok], which[ok]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-
-
-def _best_of(owner: np.ndarray, score: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best unit of each row that has any, of equals that of the first name."""
-    order = np.lexsort((which, -np.round(score, 12), owner))
-    first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
-    return owner[first], score[first], which[first]
+                for _, cos in self.cosines(np.repeat(np.arange(len(some)), n), bucket[words], len(some), t):
+                    ok = cos >= threshold
+                    yield t, row[some[ok]], cos[ok]
+
+
+def _short(t: Templates, raw: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows x templates: the scores of rows that are worked on together."""
+    score = np.zeros((len(at) - 1, len(t.license)))
+    bucket, rows, starts = _buckets(raw, at)
+    if not len(bucket):
+        return score
+    row = K.row_ids(rows)
+    for i, cos in t.cosines(row, bucket, len(score)):
+        score[:, i] = cos
+    # a word's line: line ends before it, and rows before it
+    line = np.cumsum(raw == 10)[starts] + row
+    _, line = np.unique(line, return_inverse=True)
+    owner = np.zeros(line[-1] + 1, np.int64)
+    owner[line] = row
+    for i, cos in t.cosines(line, bucket, len(owner)):
+        some = cos > 0
+        np.maximum.at(score[:, i], owner[some], cos[some])
+    for i, r, cos in t.windows(bucket, row, threshold):
+        np.maximum.at(score[:, i], r, cos)
+    return score
+
+
+def _long(t: Templates, raw: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for one very long row, in pieces."""
+    score = np.zeros((1, len(t.license)))
+    parts, lines, ends = [], [], 0
+    for i, j in K.pieces(raw, K.WORD):
+        bucket, _, starts = _buckets(raw[i:j], np.array([0, j - i]))
+        breaks = np.cumsum(raw[i:j] == 10, dtype=np.int32)
+        parts.append(bucket.astype(np.uint32))
+        lines.append(breaks[starts] + ends if len(starts) else np.empty(0, np.int32))
+        ends += int(breaks[-1])
+    bucket, line = np.concatenate(parts), np.concatenate(lines)
+    parts, lines = [], []
+
+    def put(found) -> None:
+        for i, cos in found:
+            score[0, i] = max(score[0, i], cos.max(initial=0.0))
+
+    if not len(bucket):
+        return score
+    put(t.of_counts(np.bincount(bucket, minlength=DIMENSIONS)))
+    at = 0
+    while at < len(bucket):  # whole lines, about a block at a time
+        end = min(at + K.BLOCK, len(bucket))
+        if end < len(bucket):
+            whole = int(np.searchsorted(line, line[end], "left"))
+            end = whole if whole > at else int(np.searchsorted(line, line[end], "right"))
+        if line[at] == line[end - 1]:
+            put(t.of_counts(np.bincount(bucket[at:end], minlength=DIMENSIONS)))
+        else:
+            unit = (line[at:end] - line[at]).astype(np.int64)
+            put(t.cosines(unit, bucket[at:end].astype(np.int64), int(unit[-1]) + 1))
+        at = end
+    reach = int(t.words.max())
+    for at in range(0, len(bucket), K.BLOCK):
+        part = bucket[at : at + K.BLOCK + reach - 1].astype(np.int64)
+        put((i, cos) for i, _, cos in t.windows(part, np.zeros(len(part), np.int64), threshold))
+    return score
+
+
+def _named(t: Templates, score: np.ndarray, threshold: float) -> list[str | None]:
+    best = score.max(axis=1, initial=0.0)
+    out: list[str | None] = [None] * len(score)
+    for r in np.flatnonzero(best >= threshold).tolist():
+        close = np.flatnonzero(score[r] >= best[r] - MARGIN)
+        names = sorted({t.licenses[i] for i in t.license[close[t.words[close] == t.words[close].max()]]})
+        parts = [n.split("-") for n in names]
+        same = next((n for n in range(min(map(len, parts)), 0, -1) if all(p[:n] == parts[0][:n] for p in parts)), len(parts[0]))
+        out[r] = "-".join(parts[0][:same])
+    return out
+
+
+def scan_texts(text: pa.Array, t: Templates, threshold: float) -> tuple[list[str | None], np.ndarray]:
+    """The licence and the best score of each text."""
+    names, scores = [], []
+    for _, raw, at in K.chunks(K.lower(text)):
+        score = _long(t, raw, threshold) if len(at) == 2 and len(raw) > K.CHUNK_BYTES else _short(t, raw, at, threshold)
+        names += _named(t, score, threshold)
+        scores.append(score.max(axis=1, initial=0.0))
+    return names, np.concatenate(scores) if scores else np.empty(0)
 
 
 def _scanner(shared, threshold: float):
     def run(text: pa.Array) -> pa.Array:
-        t = shared.value
-        labels, names, scores = np.array(t.names), [], []
-        for _, raw, at in K.chunks(K.lower(text)):
-            bucket, rows, starts = _buckets(raw, at)
-            row = K.row_ids(rows)
-            # a word's line: line ends before it, and rows before it
-            line = np.cumsum(raw == 10)[starts] + row if len(starts) else row
-            line_values, line = np.unique(line, return_inverse=True)
-            n_rows = len(at) - 1
-            best, which = t.cosines(row, bucket, n_rows)
-            if len(line_values):
-                line_best, line_which = t.cosines(line, bucket, len(line_values))
-                owner = np.zeros(len(line_values), np.int64)
-                owner[line] = row
-                r, score, name = _best_of(owner, line_best, line_which)
-                better = (score > best[r] + 1e-12) | ((np.abs(score - best[r]) <= 1e-12) & (name < which[r]))
-                best[r[better]], which[r[better]] = score[better], name[better]
-                r, score, name = _best_of(*t.windows(bucket, row, threshold))
-                better = (best[r] < threshold) | ((score > best[r] + 1e-12) & (labels[name] != labels[which[r]]))
-                best[r[better]], which[r[better]] = score[better], name[better]
-            scores.append(np.minimum(best, 1.0))
-            names += [t.names[w] if s >= threshold else None for s, w in zip(best.tolist(), which.tolist())]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], names=["license", "score"])
+        names, scores = scan_texts(text, shared.value, threshold)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["license", "score"])
 
     return F.arrow_udf(run, "license string, score double")
 
