@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from invented import words  # noqa: E402
 
-EXTRA = ["key", "score", "weight", "license", "id", "label", "n", "tokens", "topic", "tokens_", "good", "path", "words", "shard"]
+EXTRA = ["key", "score", "weight", "license", "label", "n", "tokens", "topic", "tokens_", "good", "path", "words", "shard", "_host", "_verdica_key", "_row", "_doc", "_up", "_size", "_n", "id", "row", "bits", "block", "count", "x", "y", "a", "b"]
 
 
 @pytest.fixture(scope="session")

@@ -110,3 +110,25 @@ def test_planted_passages_are_found(spark):
     whole = {(r[0], r[1]) for r in d.crossJoin(b.withColumnRenamed("text", "t")).where(F.contains("text", "t")).select("doc_id", "item_id").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in op.contaminated(d, b).collect()}
     assert whole and whole <= got
+
+
+def test_equal_hashes_of_unlike_words_are_no_match(spark, monkeypatch):
+    real = op.K.grams
+
+    def colliding(hashes, rows, k):
+        g, at, first = real(hashes, rows, k)
+        return g % op.np.uint64(3), at, first
+
+    docs = [(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve")]
+    items = [(1, "one two three four five")]
+    index = op._index(items, 4)
+    monkeypatch.setattr(op.K, "grams", colliding)
+    bad = op._index(items, 4)
+    assert len(set(bad[0].tolist())) < 3 and len(index) == len(bad)
+
+    class Shared:
+        value = bad
+
+    batch = op.pa.RecordBatch.from_arrays([op.pa.array([i for i, _ in docs]), op.pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    found = [tuple(r.values()) for b in op._matcher(Shared, 4, 0.5)([batch]) for r in b.to_pylist()]
+    assert found == [(1, 1, 1, 5, 5)]

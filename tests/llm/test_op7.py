@@ -81,3 +81,28 @@ def test_odd_rows(awkward, no_docs):
     assert op.fingerprints(no_docs).count() == 0
     with pytest.raises(ValueError):
         op.fingerprints(awkward, bins=100)
+
+
+@pytest.mark.parametrize(("bins", "bits"), [(256, 4), (256, 1), (64, 8), (16, 2)])
+def test_similarity_against_unpacked_bits(spark, bins, bits):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in range(60):
+        a = rng.integers(0, 2**bits, bins)
+        b = np.where(rng.random(bins) < n / 60, a, rng.integers(0, 2**bits, bins))
+        packed = [np.packbits(((v[:, None] >> np.arange(bits)[::-1]) & 1).astype(np.uint8)).tobytes() for v in (a, b)]
+        chance = 2.0**-bits
+        rows.append((n, *packed, float(max(0.0, ((a == b).mean() - chance) / (1 - chance)))))
+    rows += [(100, None, rows[0][1], None), (101, None, None, None)]
+    df = spark.createDataFrame(rows, "n int, a binary, b binary, want double")
+    for r in df.withColumn("got", op.similarity(F.col("a"), F.col("b"), bins, bits)).collect():
+        assert r["got"] == (None if r["want"] is None else pytest.approx(r["want"], abs=1e-12))
+
+
+def test_copies_meet_their_leader(spark):
+    rng = random.Random(6)
+    base = [words(rng, 120) for _ in range(5)]
+    docs = spark.createDataFrame([(i, base[i % 5]) for i in range(20)] + [(50, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["leader"], r["similarity"]) for r in op.to_leaders(op.fingerprints(docs)).collect()}
+    assert {i: (i % 5, 1.0) for i in range(5, 20)}.items() <= got.items() and all(i >= 5 or s < 0.3 for i, (_, s) in got.items())
+    assert op.to_leaders(op.fingerprints(docs.where("false"))).count() == 0

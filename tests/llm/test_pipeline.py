@@ -21,7 +21,7 @@ def tokens(text):
 
 def test_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["fingerprint", "pipeline"]
     assert set(registry.oracle_sql()) == {"op1_chat_formatting", "op2_mixing", "op9_url_filter"}
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 

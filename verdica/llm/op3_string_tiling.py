@@ -2,7 +2,7 @@
 
 Documents and test items are sequences of lower-cased words.  Runs of ``min_match``
 words, hashed as Karp-Rabin does, are the seeds; a document meets an item where they
-share one.  For each such pair the matches are the maximal runs of seeds on a diagonal.
+share one; a seed counts where its words agree one by one, not just its hash.  For each such pair the matches are the maximal runs of seeds on a diagonal.
 The longest is marked as a tile, what others overlap it is cut off, and so on while a
 match of ``min_match`` words remains; equally long ones in the order of the document,
 then of the item.  Tiles may lie in any order, so a passage whose sentences were
@@ -70,23 +70,35 @@ def tiles(places: np.ndarray, spots: np.ndarray, min_match: int) -> list[tuple[i
 
 def _index(items: list[tuple], min_match: int):
     """Sorted seeds with the items and spots they stand for; lengths of items."""
-    seeds, owners, spots, lengths = [], [], [], []
+    seeds, owners, spots, lengths, whole = [], [], [], [], []
     for n, (_, text) in enumerate(items):
         _, raw, at = next(K.chunks(K.lower(pa.array([text]))))
         hashes, rows = K.words(raw, at)
         lengths.append(len(hashes))
+        whole.append(hashes)
         g, _, first = K.grams(hashes, rows, min_match)
         seeds.append(g), owners.append(np.full(len(g), n)), spots.append(first)
     if not seeds:
         return None
     seed, owner, spot = np.concatenate(seeds), np.concatenate(owners), np.concatenate(spots)
     order = np.argsort(seed, kind="stable")
-    return seed[order], owner[order], spot[order], np.array(lengths), [x for x, _ in items]
+    return seed[order], owner[order], spot[order], np.array(lengths), [x for x, _ in items], np.concatenate(whole)
+
+
+def _hits(seed: np.ndarray, sieve: np.ndarray, g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the documents, number of the seed) of all equal hashes."""
+    likely = np.flatnonzero(sieve[(g >> np.uint64(44)).astype(np.int64)])
+    lo = np.searchsorted(seed, g[likely], "left")
+    many = np.searchsorted(seed, g[likely], "right") - lo
+    likely, lo, many = likely[many > 0], lo[many > 0], many[many > 0]
+    each = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.repeat(first[likely], many), each
 
 
 def _matcher(shared, min_match: int, threshold: float):
     def run(batches):
-        seed, owner, spot, lengths, names = shared.value
+        seed, owner, spot, lengths, names, item_words = shared.value
+        item_base = np.cumsum(lengths) - lengths
         # a table of 2**20 bits passes over almost all words of a document at once
         sieve = np.zeros(1 << 20, bool)
         sieve[(seed >> np.uint64(44)).astype(np.int64)] = True
@@ -94,15 +106,15 @@ def _matcher(shared, min_match: int, threshold: float):
             text = K.lower(batch.column(1))
             for start, raw, at in K.chunks(text):
                 hashes, rows = K.words(raw, at)
-                g, _, first = K.grams(hashes, rows, min_match)
-                likely = np.flatnonzero(sieve[(g >> np.uint64(44)).astype(np.int64)])
-                lo = np.searchsorted(seed, g[likely], "left")
-                many = np.searchsorted(seed, g[likely], "right") - lo
-                likely, lo, many = likely[many > 0], lo[many > 0], many[many > 0]
-                if not len(likely):
+                hits = [_hits(seed, sieve, g, first) for g, _, first in K.gram_blocks(hashes, rows, min_match)]
+                place, each = (np.concatenate(x) for x in zip(*hits)) if hits else (np.empty(0, np.int64),) * 2
+                # equal fingerprints are checked word by word
+                same = np.ones(len(place), bool)
+                for x in range(min_match):
+                    same &= hashes[place + x] == item_words[item_base[owner[each]] + spot[each] + x]
+                place, each = place[same], each[same]
+                if not len(place):
                     continue
-                each = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                place = np.repeat(first[likely], many)
                 row = np.searchsorted(rows, place, "right") - 1
                 item, where = owner[each], spot[each]
                 order = np.lexsort((place, item, row))

@@ -20,7 +20,8 @@ least hashes are used.  The models, weights, counts and selection cover all docu
 
 Defined cases: null or empty text has weight 0 and is sampled as such; keys that tie at
 the k-th are all kept; a label whose quality is null, or that has no document, is
-ignored; contradicting labels of one doc_id count as bad; with no good or no bad labels
+ignored; a stretch of over ``kernels.CHUNK_BYTES`` without white space counts as several of that
+length; contradicting labels of one doc_id count as bad; with no good or no bad labels
 there is nothing to separate and all documents stay; a null doc_id hashes like any value.
 """
 
@@ -45,24 +46,50 @@ _KIND[K.WORD] = 1
 _KIND[K.SPACE] = 0
 
 
-def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features, and the row of each."""
+_SOLID = ~K.SPACE
+
+
+def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and punctuation runs in the order of the text, and the row of each."""
     shape = _KIND[raw]
-    starts, ends, rows = K.spans(shape == 1, at)
+    starts, ends, _ = K.spans(shape == 1, at)
     p_starts, p_ends, _ = K.spans(shape == 2, at)
     begin = np.concatenate([starts, p_starts])
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], np.concatenate([ends, p_ends])[order]
-    rows = np.searchsorted(begin, at)
-    h = K.span_hashes(raw, begin, end)
-    row = K.row_ids(rows)
-    if len(h) < 2:
-        return (h & np.uint64(BUCKETS - 1)).astype(np.int64), row
+    return K.span_hashes(raw, begin, end), K.row_ids(np.searchsorted(begin, at))
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
     pair = K.mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:])
-    same = row[:-1] == row[1:]
     pair[h[:-1] == h[1:]] = np.uint64(12345)  # a repetition, whatever is repeated
-    both = np.concatenate([h, pair[same]])
-    return (both & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([row, row[:-1][same]])
+    return pair
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features, and the row of each."""
+    h, row = _tokens(raw, at)
+    if len(h) < 2:
+        return _bucket(h), row
+    same = row[:-1] == row[1:]
+    return np.concatenate([_bucket(h), _bucket(_pairs(h)[same])]), np.concatenate([row, row[:-1][same]])
+
+
+def feature_blocks(raw: np.ndarray, at: np.ndarray):
+    """The same in blocks, where a row is very long: cut at white space, the pair across each cut included."""
+    if len(at) != 2 or len(raw) <= K.CHUNK_BYTES:
+        yield features(raw, at)
+        return
+    before = np.empty(0, np.uint64)
+    for i, j in K.pieces(raw, _SOLID):
+        h, _ = _tokens(raw[i:j], np.array([0, j - i]))
+        found = np.concatenate([_bucket(h), _bucket(_pairs(np.concatenate([before, h])))])
+        before = h[-1:] if len(h) else before
+        yield found, np.zeros(len(found), np.int64)
 
 
 def _counter(batches):
@@ -71,11 +98,11 @@ def _counter(batches):
     for batch in batches:
         good = np.asarray(batch.column(1).fill_null(False))
         for start, raw, at in K.chunks(batch.column(0)):
-            bucket, row = features(raw, at)
-            raw_counts += np.bincount(bucket, minlength=BUCKETS)
             mine = good[start : start + len(at) - 1]
-            if mine.any():
-                good_counts += np.bincount(bucket[mine[row]], minlength=BUCKETS)
+            for bucket, row in feature_blocks(raw, at):
+                raw_counts += np.bincount(bucket, minlength=BUCKETS)
+                if mine.any():
+                    good_counts += np.bincount(bucket[mine[row]], minlength=BUCKETS)
     seen = np.flatnonzero(raw_counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw_counts[seen]), pa.array(good_counts[seen])], names=["bucket", "raw", "good"])
     K.release()
@@ -85,8 +112,7 @@ def _scorer(ratios):
     def score(text: pa.Array) -> pa.Array:
         ratio, out = ratios.value, []
         for _, raw, at in K.chunks(text):
-            bucket, row = features(raw, at)
-            out.append(np.bincount(row, weights=ratio[bucket], minlength=len(at) - 1))
+            out.append(sum(np.bincount(row, weights=ratio[bucket], minlength=len(at) - 1) for bucket, row in feature_blocks(raw, at)))
         return pa.array(np.concatenate(out) if out else np.empty(0))
 
     return F.arrow_udf(score, "double")
@@ -172,8 +198,7 @@ class Model:
         if self.least is None:
             return docs
         weight = self._udf(F.coalesce(docs["text"], F.lit("")))
-        name = "_verdica_key"
-        return docs.withColumn(name, weight + F.expr(self._noise)).where(F.col(name) >= self.least).select(docs.columns)
+        return docs.where(weight + F.expr(self._noise) >= self.least)
 
 
 def sample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -22,17 +22,18 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, kind, require
+from .common import Scratch, kind, require, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,7 +100,30 @@ class Encoder:
         return out
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows one after another, and their number in each row."""
+        """Ids of the rows one after another, and their number in each row; a very long row is encoded in stretches between cuts."""
+        if len(at) == 2 and len(raw) > BATCH_BYTES and (parts := list(self._stretches(raw))) != [(0, len(raw))]:
+            found = [self._encode(raw[i:j], np.array([0, j - i]))[0] for i, j in parts]
+            ids = np.concatenate(found if self.end is None else [*found, np.array([self.end], self.dtype)])
+            return ids, np.array([len(ids)])
+        ids, count = self._encode(raw, at)
+        if self.end is None:
+            return ids, count
+        return np.insert(ids, np.cumsum(count), self.end), count + 1
+
+    def _stretches(self, raw: np.ndarray):
+        at, size = 0, BATCH_BYTES
+        while at < len(raw):
+            end = min(at + size, len(raw))
+            cuts = self._cuts(raw[at:end], np.array([0, end - at]))
+            if end < len(raw):
+                if len(cuts) < 2:  # none yet: look further
+                    size *= 2
+                    continue
+                end = at + int(cuts[-1])
+            yield at, end
+            at, size = end, BATCH_BYTES
+
+    def _encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self._cuts(raw, at)
         stop = np.append(begin[1:], len(raw))
         per_row = np.diff(np.searchsorted(begin, at))
@@ -118,10 +142,7 @@ class Encoder:
         ends = np.cumsum(sizes)
         ids = self._pool[np.repeat(self._starts[where] - (ends - sizes), sizes) + np.arange(total)]
         row = np.repeat(np.arange(len(at) - 1), per_row)
-        count = np.bincount(row, weights=sizes, minlength=len(at) - 1).astype(np.int64)
-        if self.end is None:
-            return ids, count
-        return np.insert(ids, np.cumsum(count), self.end), count + 1
+        return ids, np.bincount(row, weights=sizes, minlength=len(at) - 1).astype(np.int64)
 
     @staticmethod
     def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -160,7 +181,7 @@ def _write(files: pafs.FileSystem, path: str, parts) -> None:
 
 def _writer(out_dir: str, tokenizer: str, end: int | None):
     def run(batches):
-        encoder, shard = _encoder(tokenizer, end), TaskContext.get().partitionId()
+        encoder, shard = _encoder(SparkFiles.get(tokenizer), end), TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(out_dir)
         draft = f"{root}/shard-{shard:06d}.bin.{uuid.uuid4().hex}"
         offsets, place, total = [np.zeros(1, "<i8")], 0, 0
@@ -198,17 +219,19 @@ def write(docs: DataFrame, out_dir: str | None = None, tokenizer: str = TOKENIZE
     """Writes the files and returns the manifest: (doc_id, file, doc, start, tokens).
 
     ``doc`` and ``start`` count from the first document and token of the whole; the shard's file
-    and its bases are in ``bases.json``.
+    and its bases are in ``bases.json``.  ``tokenizer`` is a file that the driver has; it is sent to the
+    executors.  Without ``out_dir`` the files go to a new folder under the shared one and stay there.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    out_dir = out_dir or f"{scratch.root}/files"
+    out_dir = out_dir or f"{shared_dir(spark)}/verdica-tokens/{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(tokenizer)
     if "://" not in out_dir:
         out_dir = f"file://{out_dir}"
     files, root = pafs.FileSystem.from_uri(out_dir)
     files.create_dir(root, recursive=True)
     texts = require(docs, "doc_id", "text")
-    made = scratch.table(texts.mapInArrow(_writer(out_dir, tokenizer, end), f"doc_id {kind(docs, 'doc_id')}, shard int, doc bigint, start bigint, tokens bigint"), "manifest")
+    made = scratch.table(texts.mapInArrow(_writer(out_dir, os.path.basename(tokenizer), end), f"doc_id {kind(docs, 'doc_id')}, shard int, doc bigint, start bigint, tokens bigint"), "manifest")
     sums = made.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).orderBy("shard").collect()  # a row for each shard
     bases, doc_base, token_base = [], 0, 0
     for r in sums:

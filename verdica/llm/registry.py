@@ -73,6 +73,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_one_permutation.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def fingerprint_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose fingerprints begin alike, with the estimated similarity to the first of them."""
+    return op7_one_permutation.to_leaders(op7_one_permutation.fingerprints(_read(spark, sf_dir, "documents")))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's token ids lie in the written files."""
     return op8_token_files.write(_read(spark, sf_dir, "documents"))
@@ -101,6 +106,7 @@ def queries() -> dict:
         op8_token_output,
         op9_url_filter,
         op10_html_extraction,
+        fingerprint_similarity,
     )
     return {f.__name__: f for f in found} | {"pipeline": _pipeline().run}
 
