@@ -70,3 +70,44 @@ def test_languages_that_no_target_names_are_drawn(spark):
     assert n.keys() == {"en", "de", "it", None} and 90 < n["it"] < 150 and 90 < n[None] < 150
     a, b = ({tuple(r[:3]): tuple(r[3:]) for r in op.cell_weights(docs, driver_cells=k, rounds=2).collect()} for k in (99, 0))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
+
+
+def test_slow_and_impossible_targets():
+    """Few cells make raking slow: it goes on until the marginals are met; targets that can't be met are told."""
+    codes = np.array([(0, 0), (0, 1), (1, 1), (1, 2), (2, 2)])
+    tokens = np.array([5.0, 1, 1, 1, 900])
+    wanted = [np.array([0.4, 0.35, 0.25]), np.array([0.2, 0.4, 0.4])]
+    w = op.rake(codes, tokens, wanted)
+    assert op.marginal_error(codes, w, wanted) <= op.TOLERANCE < op.marginal_error(codes, op.rake(codes, tokens, wanted, 5), wanted)
+    impossible = [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.2, 0.2])]
+    w = op.rake(codes, tokens, impossible)
+    assert op.marginal_error(codes, w, impossible) > 0.05 and np.bincount(codes[:, 1], weights=w) == pytest.approx(impossible[1])
+
+
+def test_unmet_targets_warn(spark):
+    rows = [(i, "one two", "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}, "topic": 1}
+    for k in (99, 0):
+        with pytest.warns(UserWarning, match="can't all be met"):
+            op.cell_weights(docs, targets, driver_cells=k).collect()
+
+
+def test_topics_from_a_column(spark):
+    rows = [(i, "one two three", "en", "s", ("law", "art", None)[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    out = op.mix(docs, topics="subject", targets={"source": 1, "lang": 1, "topic": {"law": 0.8, "art": 0.1}}, fraction=0.4)
+    n = {r["subject"]: r["count"] for r in out.groupBy("subject").count().collect()}
+    assert out.columns == docs.columns and 250 < n["law"] <= 300 and 20 < n["art"] < 60 and 20 < n[None] < 60
+
+
+def test_sql_agrees_where_languages_are_null_or_unlisted(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "one two three nation\n" * (1 + i % 5), ("en", "de", "it", None)[i % 4], ("x", None, "y")[i % 3]) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(f"select doc_id, source, lang, topic, tokens, weight, probability from ({op.oracle()})").fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in op.sample(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    assert got.keys() == want.keys() and all(got[k][:4] == want[k][:4] and got[k][4:] == pytest.approx(want[k][4:], abs=1e-5) for k in got)

@@ -1,12 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source x language x topic.  The token sums of the cells are
-raked: scaled in turn to the target marginal of each dimension until all marginals
-agree.  The weight of a cell is its raked share over its own share.  A document is drawn
+raked: scaled in turn to the target marginal of each dimension until every share of every
+dimension is within ``TOLERANCE`` of its target.  Where empty cells keep that from happening (targets
+that no weights can meet), raking ends when a round moves no marginal by more than a tenth of the
+tolerance, or after ``rounds`` of them; a warning then names the greatest error, and the marginals of
+the last dimension are met.  The weight of a cell is its raked share over its own share.  A document is drawn
 with the probability ``min(1, scale * weight)``, where the scale is such that the tokens
 expected are ``fraction`` of all; the draw compares the probability with a number
 from the MD5 of doc_id and seed, so it is repeatable and SQL can restate it.
 
+A document's topic is the value of a column, if ``topics`` names one (null is ``(none)``), else the
+group of word endings that its text has most of (the tables at hand have no topics).
+
 A target is a number, the power to which the shares found are raised (1 leaves the
 marginal as it is, 0 levels it), or a mapping of values to shares; what a mapping doesn't
 name keeps its own share of the rest, a named value that isn't there is left out,
@@ -25,6 +31,8 @@ null doc_id like the text ``null``; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +43,8 @@ from .common import Scratch, require, sized
 TOPICS = {"process": ("tion", "ment", "ung", "ción"), "quality": ("ble", "ly", "heit", "eux"), "agent": ("er ", "or ", "eur ", "ador ")}
 TARGETS = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {"process": 0.4, "quality": 0.2, "agent": 0.3, "other": 0.1}}
 FRACTION = 0.6
-ROUNDS = 50
+ROUNDS = 1000
+TOLERANCE = 1e-9
 DRIVER_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 #: A mapping leaves a rest for values that it doesn't name if its shares sum to less than 1 by more than this.
@@ -63,11 +72,16 @@ def topic_of(text: Column, topics: dict = TOPICS) -> Column:
     return out
 
 
-def _features(docs: DataFrame, topics: dict) -> list[Column]:
+def _needed(topics: dict | str) -> list[str]:
+    return list(dict.fromkeys(["doc_id", "source", "lang", "text", *([topics] if isinstance(topics, str) else [])]))
+
+
+def _features(docs: DataFrame, topics: dict | str) -> list[Column]:
+    topic = F.coalesce(docs[topics].cast("string"), F.lit("(none)")) if isinstance(topics, str) else topic_of(docs["text"], topics)
     return [
         F.coalesce(docs["source"], F.lit("(none)")).alias("source"),
         F.coalesce(docs["lang"], F.lit("(none)")).alias("lang"),
-        topic_of(docs["text"], topics).alias("topic"),
+        topic.alias("topic"),
         token_count(docs["text"]).alias("tokens"),
     ]
 
@@ -94,16 +108,34 @@ def target_shares(shares: dict, target) -> dict:
     return {v: w / total for v, w in wanted.items()} if total else dict(shares)
 
 
-def rake(codes: np.ndarray, tokens: np.ndarray, wanted: list[np.ndarray], rounds: int) -> np.ndarray:
+def _marginals(codes: np.ndarray, w: np.ndarray, wanted: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.bincount(codes[:, d], weights=w, minlength=len(shares)) for d, shares in enumerate(wanted)]
+
+
+def marginal_error(codes: np.ndarray, w: np.ndarray, wanted: list[np.ndarray]) -> float:
+    """The greatest distance of a share from its target."""
+    return float(max(np.abs(h - s).max() for h, s in zip(_marginals(codes, w, wanted), wanted)))
+
+
+def rake(codes: np.ndarray, tokens: np.ndarray, wanted: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fits the cells' tokens (codes: cell x dimension) to the marginals; shares that sum to 1."""
     w = tokens / tokens.sum()
+    have = _marginals(codes, w, wanted)
     for _ in range(rounds):
         for d, shares in enumerate(wanted):
-            have = np.bincount(codes[:, d], weights=w, minlength=len(shares))
-            w = w * np.divide(shares, have, out=np.zeros_like(have), where=have > 0)[codes[:, d]]
+            now = np.bincount(codes[:, d], weights=w, minlength=len(shares))
+            w = w * np.divide(shares, now, out=np.zeros_like(now), where=now > 0)[codes[:, d]]
+        before, have = have, _marginals(codes, w, wanted)
+        if marginal_error(codes, w, wanted) <= tolerance or max(np.abs(a - b).max() for a, b in zip(before, have)) <= tolerance / 10:
+            break
     return w / w.sum()
 
 
+def _tell(error: float, tolerance: float) -> None:
+    if error > tolerance:
+        warnings.warn(f"the targets can't all be met: a marginal is {error:.3g} off", stacklevel=3)
+
+
 def scale_for(weights: np.ndarray, tokens: np.ndarray, fraction: float) -> float:
     """The scale at which sum(min(1, scale * weight) * tokens) is the fraction of all tokens."""
     order = np.argsort(-weights, kind="stable")
@@ -134,7 +166,9 @@ def _on_driver(cells: DataFrame, targets: dict, fraction: float, rounds: int) ->
             shares = target_shares(dict(zip(values, have)), targets[d])
             codes.append(code)
             wanted.append(np.array([shares[v] for v in values]))
-        raked = rake(np.stack(codes, 1), tokens, wanted, rounds)
+        codes = np.stack(codes, 1)
+        raked = rake(codes, tokens, wanted, rounds)
+        _tell(marginal_error(codes, raked, wanted), TOLERANCE)
         weights = np.divide(raked, tokens / tokens.sum(), out=np.ones(len(tokens)), where=tokens > 0)
         scale = scale_for(weights, tokens, fraction)
     pdf["weight"] = weights
@@ -142,6 +176,12 @@ def _on_driver(cells: DataFrame, targets: dict, fraction: float, rounds: int) ->
     return spark.createDataFrame(pdf[[*DIMENSIONS, "weight", "probability"]], "source string, lang string, topic string, weight double, probability double")
 
 
+def _error(cells: DataFrame, d: str) -> float:
+    """The greatest distance of a share of a dimension from its target."""
+    found = cells.groupBy(d).agg(F.sum("w").alias("w"), F.first(f"to_{d}").alias("to"))
+    return found.agg(F.max(F.abs(F.col("w") - F.coalesce("to", "w")))).first()[0]
+
+
 def _as_frames(cells: DataFrame, targets: dict, fraction: float, rounds: int, scratch: Scratch) -> DataFrame:
     """The same by DataFrames, for cells too many for the driver.  A mapping's values are few, those of a power any number."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -162,30 +202,36 @@ def _as_frames(cells: DataFrame, targets: dict, fraction: float, rounds: int, sc
         sum_g = have.agg(F.sum("g")).first()[0]
         now = now.join(have.select(d, (F.col("g") / sum_g if sum_g else F.lit(None)).alias(f"to_{d}")), d)
     now = scratch.table(now, "cells-0")
+    error = float("inf")
     for i in range(rounds):
         for d in DIMENSIONS:
             sums = now.groupBy(d).agg(F.sum("w").alias("_have"))
             now = now.join(sums, d).withColumn("w", F.when(F.col("_have") > 0, F.col("w") * F.coalesce(f"to_{d}", "_have") / F.col("_have")).otherwise(0.0)).drop("_have")
         now = scratch.table(now, f"cells-{i + 1}")
         scratch.drop(f"cells-{i}")
+        before, error = error, max(_error(now, d) for d in DIMENSIONS)
+        if error <= TOLERANCE or abs(before - error) <= TOLERANCE / 10:
+            break
+    _tell(error, TOLERANCE)
     whole = now.agg(F.sum("w")).first()[0]
     now = scratch.table(now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / whole / (F.col("tokens") / total)).otherwise(1.0).alias("weight")), "weights")
 
-    def expected(scale: float) -> float:
-        return now.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * scale) * F.col("tokens"))).first()[0]
+    def at(scale: float) -> float:
+        """The exact scale if the cells that this one fills are those that are full."""
+        full = F.col("weight") * F.lit(scale) >= 1
+        whole, part = now.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight") * F.col("tokens")))).first()
+        return max(0.0, (fraction * total - (whole or 0)) / part) if part else float("inf")
 
-    low, high = 0.0, 1.0
-    while expected(high) < fraction * total and high < 1e12:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expected(mid) < fraction * total else (low, mid)
-    return now.select(*DIMENSIONS, "weight", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * high)).otherwise(0.0).alias("probability"))
+    # cells only fill as the scale grows, and it never passes the exact one
+    scale, high = 0.0, at(0.0)
+    while high > scale * (1 + 1e-12) and high != float("inf"):
+        scale, high = high, at(high)
+    return now.select(*DIMENSIONS, "weight", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * high if high != float("inf") else F.lit(1.0))).otherwise(0.0).alias("probability"))
 
 
-def cell_weights(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, rounds: int = ROUNDS, topics: dict = TOPICS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def cell_weights(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, rounds: int = ROUNDS, topics: dict | str = TOPICS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(source, lang, topic, weight, probability) for every cell."""
-    base = require(docs, "doc_id", "source", "lang", "text")
+    base = require(docs, *_needed(topics))
     return _weights(base.select(*_features(base, topics)), targets, fraction, rounds, driver_cells)
 
 
@@ -203,16 +249,16 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sample(docs: DataFrame, topics: dict = TOPICS, seed: int = SEED, **options) -> DataFrame:
+def sample(docs: DataFrame, topics: dict | str = TOPICS, seed: int = SEED, **options) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability) of the documents drawn; the texts are read once."""
-    base = require(docs, "doc_id", "source", "lang", "text")
+    base = require(docs, *_needed(topics))
     features = Scratch(docs.sparkSession, "raking").table(base.select("doc_id", *_features(base, topics)), "features")
     cells = sized(_weights(features, **options).select(*DIMENSIONS, "weight", "probability"))
     drawn = features.join(cells, list(DIMENSIONS)).where(uniform(F.col("doc_id"), seed) < F.col("probability"))
     return drawn.select("doc_id", *DIMENSIONS, "tokens", "weight", "probability")
 
 
-def mix(docs: DataFrame, topics: dict = TOPICS, seed: int = SEED, **options) -> DataFrame:
+def mix(docs: DataFrame, topics: dict | str = TOPICS, seed: int = SEED, **options) -> DataFrame:
     """The documents drawn, with the columns of ``docs``; texts are read twice and not shuffled."""
     cells = sized(cell_weights(docs, topics=topics, **options).select(*DIMENSIONS, "probability"))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
@@ -234,19 +280,29 @@ def oracle() -> str:
         if isinstance(t, dict):
             named = "case v " + " ".join(f"when {quoted(k)} then {float(x)!r}::double" for k, x in t.items()) + " end"
             listed = ", ".join(quoted(k) for k in t)
-            left = max(0.0, 1 - sum(t.values()))
-            g = f"coalesce({named}, s * {left!r} / nullif(sum(case when v not in ({listed}) then s else 0 end) over (), 0), 0)"
+            left = 1 - sum(t.values())
+            rest, there = f"sum(case when v not in ({listed}) then s else 0 end) over ()", f"sum(case when s > 0 then coalesce({named}, 0) else 0 end) over ()"
+            if left > LEAST_REST:
+                g = f"coalesce({named}, s * {left!r} / nullif({rest}, 0), 0)"
+            else:
+                g = f"coalesce({named} * case when {rest} > 0 and {there} > 0 then (1 - {rest}) / {there} else 1 end, s)"
         else:
             g = f"pow(s, {float(t)!r})"
         goal_parts.append(
             f"goal_{d} as (select v, g / sum(g) over () as g from (select v, case when s > 0 then {g} else 0 end as g from "
             f"(select {d} as v, sum(w) as s from cells group by 1)))"
         )
-    step = "select it + 1 as it, source, lang, topic, tokens, own, gs, gl, gt, w3 as w from (" \
-        "select *, case when sum(w2) over (partition by topic) > 0 then w2 * gt / sum(w2) over (partition by topic) else 0 end as w3 from (" \
-        "select *, case when sum(w1) over (partition by lang) > 0 then w1 * gl / sum(w1) over (partition by lang) else 0 end as w2 from (" \
-        "select *, case when sum(w) over (partition by source) > 0 then w * gs / sum(w) over (partition by source) else 0 end as w1 " \
-        f"from raked where it < {ROUNDS})))"
+    # the three scalings of a round, then the marginals after it (ms, ml, mt) beside those before (ps, pl, pt)
+    scaled = "from raked where not done"
+    for n, (d, g) in enumerate((("source", "gs"), ("lang", "gl"), ("topic", "gt"))):
+        own, total = ("w" if not n else f"w{n}"), f"sum({'w' if not n else f'w{n}'}) over (partition by {d})"
+        scaled = f"from (select *, case when {total} > 0 then {own} * {g} / {total} else 0 end as w{n + 1} {scaled})"
+    sums = "sum(w) over (partition by source) as ms, sum(w) over (partition by lang) as ml, sum(w) over (partition by topic) as mt"
+    far = lambda x: f"max(greatest({', '.join(f'abs(m{k} - {x}{k})' for k in 'slt')})) over ()"
+    step = (
+        f"select *, {far('g')} <= {TOLERANCE!r} or {far('p')} <= {TOLERANCE / 10!r} or it = {ROUNDS} as done from ("
+        f"select *, {sums} from (select it + 1 as it, source, lang, topic, tokens, own, gs, gl, gt, w3 as w, ms as ps, ml as pl, mt as pt {scaled}))"
+    )
     return f"""
 with recursive docs as (
   select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, coalesce(text, '') as x from documents),
@@ -259,11 +315,12 @@ cells as (
   select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens)::double / sum(sum(tokens)) over () as w from feats group by 1, 2, 3),
 {', '.join(goal_parts)},
 raked as (
-  select 0 as it, source, lang, topic, tokens, w as own, s.g as gs, l.g as gl, t.g as gt, w
+  select 0 as it, source, lang, topic, tokens, w as own, s.g as gs, l.g as gl, t.g as gt, w,
+    0::double as ps, 0::double as pl, 0::double as pt, sum(w) over (partition by source) as ms, sum(w) over (partition by lang) as ml, sum(w) over (partition by topic) as mt, false as done
   from cells join goal_source s on s.v = source join goal_lang l on l.v = lang join goal_topic t on t.v = topic
   union all {step}),
 weighed as (
-  select source, lang, topic, tokens, case when tokens > 0 then w / sum(w) over () / own else 1 end as weight from raked where it = {ROUNDS}),
+  select source, lang, topic, tokens, case when tokens > 0 then w / sum(w) over () / own else 1 end as weight from raked where it = (select max(it) from raked)),
 ranked as (
   select *, coalesce(sum(tokens) over (order by weight desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as above,
     sum(weight * tokens) over (order by weight desc, source, lang, topic rows between current row and unbounded following) as below,
