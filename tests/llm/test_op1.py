@@ -63,7 +63,7 @@ def test_paths_ignore_order_and_unknown_fields(spark):
     a = '{"z": 1, "messages": [{"content": "x", "role": "y"}, {"role": "y", "content": null, "w": {"v": [[1]]}}]}'
     b = '{"messages": [{"role": "y", "content": "x"}]}'
     df = spark.createDataFrame([(a,), (b,)], "record string").withColumn("v", F.try_parse_json("record"))
-    rows = df.select(op.field_paths(F.col("v")).alias("p"), op.fingerprint(op.field_paths(F.col("v"))).alias("f")).collect()
+    rows = df.select(op.field_paths(F.col("v")).alias("p"), op.fingerprint(op.field_paths(F.col("v")), op.MAPPINGS[0]).alias("f")).collect()
     assert rows[0]["p"] == ["messages", "messages[]", "messages[].content", "messages[].role", "messages[].w", "messages[].w.v", "messages[].w.v[]", "messages[].w.v[][]", "z"]
     assert rows[0]["f"] == rows[1]["f"]
 
@@ -71,3 +71,33 @@ def test_paths_ignore_order_and_unknown_fields(spark):
 def test_two_mappings_cannot_own_a_layout(spark):
     with pytest.raises(ValueError):
         op.registry(spark, (*op.MAPPINGS, op.Mapping("again", ("prompt", "completion"), ())))
+
+
+def test_texts_in_parts(spark):
+    image = {"type": "image_url", "image_url": {"url": "http://x"}}
+    got = run(
+        spark,
+        [
+            {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, image, {"type": "text", "text": ""}, {"text": "b"}]}]},
+            {"messages": [{"role": "user", "content": [image]}, {"role": "assistant", "content": "plain"}, {"role": "user", "content": [{"type": "text", "text": "part"}]}]},
+            {"messages": [{"role": "user", "content": {"text": "an object"}}, {"role": "assistant", "content": ["x", "y"]}]},
+            {"conversations": [{"from": "human", "value": ["x", {"text": "y"}, 5, None]}]},
+            {"prompt": [{"text": "q"}], "completion": "a"},
+        ],
+    )
+    assert got == {
+        (0, "messages_parts"): [(0, "user", "hi"), (1, "assistant", "a\n\nb")],
+        (1, "messages"): [(0, "assistant", "plain"), (1, "user", "part")],
+        (2, "messages"): [(0, "assistant", "x\n\ny")],
+        (3, "sharegpt"): [(0, "user", "x\n\ny")],
+        (4, "completion"): [(0, "user", "q"), (1, "assistant", "a")],
+    }
+
+
+def test_the_most_specific_layout_is_taken(spark):
+    messages = [{"role": "user", "content": "a"}]
+    got = run(spark, [{"messages": messages, "prompt": "p"}, {"messages": messages, "prompt": "p", "completion": "c", "system": "s"}, {"prompt": "p", "completion": "c", "response": "r"}, {"instruction": "i", "output": "o", "question": "q", "answer": "x"}])
+    assert got == {
+        (0, "messages"): [(0, "user", "a")], (1, "messages"): [(0, "system", "s"), (1, "user", "a")],
+        (2, "unmapped"): [(None, None, None)], (3, "unmapped"): [(None, None, None)],
+    }

@@ -2,18 +2,21 @@
 
 Records are JSON texts of any layout.  The nested field paths of a record (``messages[]``,
 ``messages[].role``, ...) are read off the schema of its parsed value, whatever the order
-of keys and elements; those that no mapping mentions are set aside, the rest are sorted
-and hashed.  The hash selects a mapping: a declaration of where roles and texts are.
-Each mapping owns the fingerprints of its required paths with every choice of its
-optional ones.  The mapping turns the record into canonical turns.
+of keys and elements.  A mapping is a declaration of where roles and texts are.  It owns the
+fingerprints (hashes of the sorted paths) of its required paths with every choice of its
+optional ones; a record is its own if the fingerprint of those of the record's paths that the
+mapping mentions is among them.  Of several mappings the one with most required paths is
+selected and turns the record into canonical turns.
 
 All of it runs in the JVM: parsing, schema, hash, selection and mapping are expressions;
 no record is looked at by Python and nothing is shuffled.
 
 Defined cases: text that is null, is no JSON object, or has a layout that no mapping
-owns gives one row with layout ``null``, ``invalid`` or ``unmapped`` and a null turn, so that no
-record is lost; fields beside the mapped ones are ignored, whatever their names;
-turns whose text is null or blank are left out and the others numbered from 0; a
+owns, or several with as many required paths do, gives one row with layout ``null``,
+``invalid`` or ``unmapped`` and a null turn, so that no record is lost; fields beside the mapped ones are
+ignored, whatever their names; a text that is an array is the texts of its parts (strings, or
+objects with ``text``), joined by blank lines, other parts (images) are left out; a text that is an
+object is none; turns whose text is null or blank are left out and the others numbered from 0; a
 record of which no turn is left gives one row with its layout and a null turn;
 unknown roles are kept as they are, in lower case; equal records give equal rows each.
 """
@@ -67,6 +70,10 @@ def _list(name: str, role: str, text: str) -> tuple[str, ...]:
 
 MAPPINGS = (
     Mapping("messages", _list("messages", "role", "content"), (One("system", ("system",)), Each("messages", "role", "content")), ("system",)),
+    Mapping(
+        "messages_parts", (*_list("messages", "role", "content"), "messages[].content[]", "messages[].content[].text"),
+        (One("system", ("system",)), Each("messages", "role", "content")), ("system", "messages[].content[].type"),
+    ),
     Mapping("sharegpt", _list("conversations", "from", "value"), (One("system", ("system",)), Each("conversations", "from", "value")), ("system",)),
     Mapping("dialog", _list("dialog", "speaker", "text"), (Each("dialog", "speaker", "text"),)),
     Mapping("instruction", ("instruction", "output"), (One("system", ("system",)), One("user", ("instruction", "input")), One("assistant", ("output",))), ("system", "input")),
@@ -77,6 +84,15 @@ MAPPINGS = (
     Mapping("history_empty", ("history", "history[]", "query", "response"), (One("system", ("system",)), One("user", ("query",)), One("assistant", ("response",))), ("system",)),
 )
 
+def _said(value: Column) -> Column:
+    """The text that a variant is: its own, or that of its parts."""
+    of_part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.startswith(F.schema_of_variant(p), F.lit("STRING")), F.try_variant_get(p, "$", "string")))
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    joined = F.array_join(F.filter(F.transform(parts, of_part), lambda t: F.nullif(t, F.lit("")).isNotNull()), "\n\n")
+    plain = F.when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT<")), F.try_variant_get(value, "$", "string"))
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY<")), joined).otherwise(plain)
+
+
 _TURN = "struct<role:string,text:string>"
 
 
@@ -107,14 +123,14 @@ def field_paths(value: Column) -> Column:
     return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda s: s["paths"])))
 
 
-def fingerprint(paths: Column, mappings=MAPPINGS) -> Column:
-    """The hash of the paths that any mapping mentions."""
-    known = sorted({p for m in mappings for p in (*m.required, *m.optional)})
+def fingerprint(paths: Column, mapping: Mapping) -> Column:
+    """The hash of the paths that the mapping mentions."""
+    known = sorted({*mapping.required, *mapping.optional})
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, known)))), "\n"))
 
 
-def registry(spark, mappings=MAPPINGS) -> dict[int, str]:
-    """Fingerprint to mapping, for every choice of optional paths; two mappings can't own one."""
+def registry(spark, mappings=MAPPINGS) -> dict[str, list[int]]:
+    """The fingerprints that each mapping owns, for every choice of optional paths; two mappings can't own the same paths."""
     wanted: dict[str, str] = {}
     for m in mappings:
         for n in range(len(m.optional) + 1):
@@ -122,8 +138,20 @@ def registry(spark, mappings=MAPPINGS) -> dict[int, str]:
                 key = "\n".join(sorted({*m.required, *some}))
                 if wanted.setdefault(key, m.name) != m.name:
                     raise ValueError(f"{m.name} and {wanted[key]} own the same paths")
-    rows = spark.createDataFrame(list(wanted.items()), "paths string, name string").select(F.xxhash64("paths"), "name").collect()
-    return {fp: name for fp, name in rows}
+    owned: dict[str, list[int]] = {}
+    for fp, name in spark.createDataFrame(list(wanted.items()), "paths string, name string").select(F.xxhash64("paths"), "name").collect():
+        owned.setdefault(name, []).append(fp)
+    return owned
+
+
+def select_mapping(paths: Column, owned: dict[str, list[int]], mappings=MAPPINGS) -> Column:
+    """The name of the owner with most required paths, null without a single one."""
+    none = F.lit(None).cast("struct<required:int,name:string>")
+    each = [F.when(fingerprint(paths, m).isin(owned[m.name]), F.struct(F.lit(len(m.required)).alias("required"), F.lit(m.name).alias("name"))).otherwise(none) for m in mappings]
+    found = F.filter(F.array(*each), lambda x: x.isNotNull())
+    best = F.array_max(F.transform(found, lambda x: x["required"]))
+    first = F.filter(found, lambda x: x["required"] == best)
+    return F.when(F.size(first) == 1, F.try_element_at(first, F.lit(1))["name"])
 
 
 def _get(value: Column, path: str, kind: str) -> Column:
@@ -133,26 +161,25 @@ def _get(value: Column, path: str, kind: str) -> Column:
 def _turns(value: Column, source: Each | Pairs | One) -> Column:
     turn = lambda role, text: F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
     if isinstance(source, One):
-        texts = [F.nullif(_get(value, f, "string"), F.lit("")) for f in source.fields]
+        texts = [F.nullif(_said(_get(value, f, "variant")), F.lit("")) for f in source.fields]
         return F.array(turn(F.lit(source.role), F.concat_ws("\n\n", *texts)))
     items = _get(value, source.array, "array<variant>")
     if isinstance(source, Each):
-        return F.transform(items, lambda x: turn(_get(x, source.role, "string"), _get(x, source.text, "string")))
-    pair = lambda x, i: F.try_variant_get(x, f"$[{i}]", "string")
+        return F.transform(items, lambda x: turn(_get(x, source.role, "string"), _said(_get(x, source.text, "variant"))))
+    pair = lambda x, i: _said(F.try_variant_get(x, f"$[{i}]", "variant"))
     return F.flatten(F.transform(items, lambda x: F.array(turn(F.lit("user"), pair(x, 0)), turn(F.lit("assistant"), pair(x, 1)))))
 
 
 def canonical(records: DataFrame, id_column: str, record: str = "record", mappings=MAPPINGS, roles: dict = ROLES) -> DataFrame:
     """(id, layout, turn, role, text) from JSON texts."""
-    owners = registry(records.sparkSession, mappings)
+    owned = registry(records.sparkSession, mappings)
     base = records.select(records[id_column].alias("id"), records[record].alias("raw")).withColumn("value", F.try_parse_json("raw"))
     is_object = F.startswith(F.schema_of_variant("value"), F.lit("OBJECT<"))
-    owner = F.create_map(*[F.lit(x) for pair in owners.items() for x in pair])
     layout = (
         F.when(F.col("raw").isNull(), F.lit("null")).when(F.col("value").isNull() | ~is_object, F.lit("invalid"))
-        .otherwise(F.coalesce(F.try_element_at(owner, fingerprint(field_paths(F.col("value")), mappings)), F.lit("unmapped")))
+        .otherwise(F.coalesce(F.when(is_object, select_mapping(F.col("paths"), owned, mappings)), F.lit("unmapped")))
     )
-    marked = base.withColumn("layout", layout)
+    marked = base.withColumn("paths", field_paths(F.col("value"))).withColumn("layout", layout)
     found = F.lit(None).cast(f"array<{_TURN}>")
     for m in mappings:
         parts = [F.coalesce(_turns(F.col("value"), t), F.array().cast(f"array<{_TURN}>")) for t in m.turns]
@@ -169,7 +196,7 @@ def as_records(conversations: DataFrame) -> DataFrame:
 
     A question with its answer, with a system turn before it or not, is written as instruction,
     completion, response or question by ``conv_id % 4``; others as messages, sharegpt or dialog by
-    ``conv_id % 3``.
+    ``conv_id % 3``, every third of the messages with texts in parts.
     """
     c = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and text is not null")
     grouped = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
@@ -187,7 +214,8 @@ def as_records(conversations: DataFrame) -> DataFrame:
         .otherwise(F.when(single, flat("question", "answer")).otherwise(flat("prompt", "completion")))
     )
     by = F.pmod("conv_id", F.lit(3))
-    listed = F.when(by == 0, each("messages", "role", "content")).when(by == 1, F.to_json(F.struct(F.col("conv_id").alias("id"), alias.alias("conversations")))).otherwise(each("dialog", "speaker", "text"))
+    in_parts = F.to_json(F.struct(F.col("conv_id").alias("id"), F.transform("ts", lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content"))).alias("messages")))
+    listed = F.when(F.pmod("conv_id", F.lit(9)) == 0, in_parts).when(by == 0, each("messages", "role", "content")).when(by == 1, F.to_json(F.struct(F.col("conv_id").alias("id"), alias.alias("conversations")))).otherwise(each("dialog", "speaker", "text"))
     return g.select("conv_id", F.when(single | with_system, flat_layout).otherwise(listed).alias("record"))
 
 
@@ -202,6 +230,7 @@ kept as (
 select conv_id,
   case when roles = 'user,assistant' then ['instruction', 'completion', 'response', 'question'][(conv_id % 4 + 4) % 4 + 1]
     when roles = 'system,user,assistant' then ['instruction', 'completion', 'response', 'completion'][(conv_id % 4 + 4) % 4 + 1]
+    when conv_id % 9 = 0 then 'messages_parts'
     else ['messages', 'sharegpt', 'dialog'][(conv_id % 3 + 3) % 3 + 1] end as layout,
   kept.turn::integer as turn, kept.role as role, kept.text as text
 from g left join kept using (conv_id)
