@@ -79,7 +79,7 @@ def test_finish_writes_what_the_size_earns(spark, questions, tmp_path):
     assert len(stored["results"]) == 10 and stored["summary"]["questions"] == 10 == payload["summary"]["questions"] and "accuracy" in said[0]
     evaluate.finish(rows, about, config, say=said.append)
     assert len(list((tmp_path / "logs").iterdir())) == 2
-    assert cli._own_rows(spark, str(tmp_path / "eval_results_mock.json")).count() == 10
+    assert results.read_own(spark, str(tmp_path / "eval_results_mock.json")).count() == 10
 
 
 def test_targets():
@@ -271,3 +271,89 @@ def test_reports_show_every_question(spark):
     assert page.count("<details") == 1200 and "The first" not in page
     page = report.render(report.collect_payload(rows, questions=10))
     assert page.count("<details") == 10 and "The first 10 of 1200." in page
+
+
+def test_a_stored_run_asks_anew_and_keeps_its_samples(spark, questions, tmp_path):
+    Counting.asked = 0
+    config = evaluate.Config(questions=4, k=2, out=str(tmp_path))
+    for n in (1, 2):
+        rows, about = evaluate.run(spark, questions, config, Counting(), say=lambda _: None)
+        evaluate.finish(rows, about, config, say=lambda _: None)
+        assert Counting.asked == 8 * n
+    stored = json.loads((tmp_path / "eval_results_mock.json").read_text())["results"]
+    assert all([s["sample_index"] for s in r["samples"]] == [0, 1] and "text" not in r["samples"][0] and r["samples"][0]["predicted"] == r["predicted"] for r in stored)
+    one = evaluate.Config(question=2, k=2, out=str(tmp_path))
+    rows, about = evaluate.run(spark, questions, one, generators.Mock(1.0), say=lambda _: None)
+    evaluate.finish(rows, about, one, say=lambda _: None)
+    again = {r["index"]: r for r in json.loads((tmp_path / "eval_results_mock.json").read_text())["results"]}
+    assert sorted(again) == [0, 1, 2, 3] and again[1]["ok"] and again[0]["predicted"] == next(r for r in stored if r["index"] == 0)["predicted"]
+
+
+def test_comparison_is_stored_and_reported(spark, questions, tmp_path, monkeypatch):
+    configs = [evaluate.Config(questions=12, backend=b, scoring=False, canonical=False, out=str(tmp_path)) for b in ("mock", "qwen")]
+    found = evaluate.compare_backends(spark, questions, configs, {"qwen": generators.Mock(0.2, seed=1)}, say=lambda _: None)
+    stored = results.read_comparison(str(tmp_path / "eval_comparison.json"))
+    assert stored["backends"] == ["mock", "qwen"] and len(stored["divergences"]) == stored["num_divergences"] == found["num_divergences"] > 0
+    d = stored["divergences"][0]
+    assert set(d["outcomes"]) == set(d["predicted"]) == {"mock", "qwen"} and d["problem"].startswith("What is") and d["outcomes"]["mock"] != d["outcomes"]["qwen"]
+    for b in ("mock", "qwen"):
+        assert "Where they differ" in (tmp_path / f"report_{b}_partial.html").read_text()
+        (tmp_path / f"report_{b}_partial.html").unlink()
+    monkeypatch.setattr(cli.session, "build", lambda master: spark)
+    assert cli.main(["--out", str(tmp_path), "--report-only"]) == 0
+    assert all("Where they differ" in (tmp_path / f"report_{b}_partial.html").read_text() for b in ("mock", "qwen"))
+    assert cli.main(["--out", str(tmp_path / "nothing"), "--report-only"]) == 2
+    assert results.read_comparison(str(tmp_path / "none.json")) is None
+
+
+def test_quiet_and_without_reports(spark, questions, tmp_path, monkeypatch, capsys):
+    questions.write.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(cli.session, "build", lambda master: spark)
+    out = ["--problems", str(tmp_path / "p"), "-n", "2"]
+    assert cli.main([*out, "--out", str(tmp_path / "a"), "--quiet", "--no-report"]) == 0
+    assert not list((tmp_path / "a").glob("*.html")) and not (tmp_path / "a" / "eval_debug_mock").exists()
+    assert cli.main([*out, "--out", str(tmp_path / "b")]) == 0
+    told = "\n".join(p.read_text() for p in (tmp_path / "b" / "eval_debug_mock").glob("part-*"))
+    assert "question 1, sample 1" in told and "boxed" in told and list((tmp_path / "b").glob("*.html"))
+
+
+def test_regrade_command(spark, tmp_path, monkeypatch, capsys):
+    from verdica import regrade
+
+    monkeypatch.setattr(regrade.session, "build", lambda master: spark)
+    path = tmp_path / "eval_results_mock.json"
+    rows = [(0, "1/2", "0.5", False), (1, "3", "4", True), (2, "5", None, False)]
+    made = spark.createDataFrame(rows, "index int, expected string, predicted string, ok boolean").selectExpr(
+        "*", "array(named_struct('sample_index', 0, 'predicted', predicted, 'ok', ok)) as samples", "map('first', named_struct('predicted', predicted, 'correct', ok)) as selection"
+    )
+    results.write_json({"summary": {"backend": "mock", "model": "m"}}, made, str(path))
+    was = path.read_text()
+    assert regrade.main(["--results", str(path)]) == 0 and path.read_text() == was and not (tmp_path / "eval_results_mock.json.bak").exists()
+    said = capsys.readouterr().out
+    assert "+ [0] '1/2' <- '0.5'" in said and "- [1] '3' <- '4'" in said and "nothing written" in said
+    assert regrade.main(["--results", str(path), "--write", "--report"]) == 0
+    assert (tmp_path / "eval_results_mock.json.bak").read_text() == was and (tmp_path / "report_mock_partial.html").exists()
+    again = {r["index"]: r for r in json.loads(path.read_text())["results"]}
+    assert [again[i]["ok"] for i in range(3)] == [True, False, False] and again[0]["samples"][0]["ok"] and again[0]["selection"]["first"]["correct"]
+    assert json.loads(path.read_text())["regraded"] and regrade.main(["--results", str(tmp_path / "none")]) == 2
+
+
+def test_audit_command(spark, tmp_path, monkeypatch, capsys):
+    from verdica import audit
+
+    answers = ["\\frac{1}{2}", "12", "90", "90^\\circ", "5", "x=5", "7"]
+    spark.createDataFrame([(i, "p", a, None, None) for i, a in enumerate(answers)], "index int, problem string, answer string, subject string, level int").write.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(audit.session, "build", lambda master: spark)
+    assert audit.main(["--problems", str(tmp_path / "p")]) == 0
+    said = capsys.readouterr().out
+    assert "old form: 2 collisions, 1 of equal answers, 1 FALSE" in said and "new form: 1 collisions, 1 of equal answers, 0 FALSE" in said and "by presentation alone" in said
+    found = spark.createDataFrame([(f"{i:03d}", 2) for i in range(30)], "form string, variants int")
+    assert [r["form"] for r in audit.first_collisions(found).collect()] == [f"{i:03d}" for i in range(12)]
+
+
+def test_problem_sets_with_gaps_and_without_an_index(spark, tmp_path):
+    gaps = spark.createDataFrame([(i * 7, "p", "a", "s", 1) for i in range(20)], "index int, problem string, answer string, subject string, level int")
+    gaps.write.parquet(str(tmp_path / "p"))
+    assert sorted(r["index"] for r in problems.load(spark, str(tmp_path / "p"), limit=3).collect()) == [0, 7, 14]
+    (tmp_path / "q.jsonl").write_text("\n".join(json.dumps({"unique_id": f"u{i}", "problem": f"p{i}", "answer": str(i), "subject": "s", "level": 2}) for i in range(5)))
+    assert [(r["index"], r["answer"]) for r in problems.load(spark, str(tmp_path / "q.jsonl"), question=4).collect()] == [(3, "3")]

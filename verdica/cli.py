@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from dataclasses import replace
+from pathlib import Path
 
 from . import session
 from .plans import evaluate, report
@@ -27,7 +28,9 @@ _OPTIONS = {
     "--out": {"default": "."},
     "--report": {"default": "report.html"},
     "--compare": {"help": "backends, separated by commas"},
-    "--report-only": {"help": "make the report anew from stored results", "metavar": "JSON"},
+    "--no-report": _FLAG,
+    "--quiet": {"help": "no transcript, no progress", **_FLAG},
+    "--report-only": {"help": "make the report anew from stored results: of this file, else of all in the folder", "metavar": "JSON", "nargs": "?", "const": ""},
     "--master": {"default": "local[*]"},
 }
 
@@ -52,42 +55,51 @@ def main(args: list[str] | None = None) -> int:
         return fail(f"unknown backends: {', '.join(unknown)}")
     if a.compare and len(names) < 2:
         return fail("--compare needs two backends")
-    if not a.problems and not a.report_only:
+    if not a.problems and a.report_only is None:
         return fail("--problems is missing")
     if a.k > 1 and a.temperature == 0:
         print("at temperature 0 all samples are the same", file=sys.stderr)
     spark = session.build(a.master)
-    config = evaluate.Config(a.questions, a.question, names[0], a.model, a.k, a.max_tokens, a.temperature, not a.no_scores, "orm" if a.orm else "prm", a.four_bits, not a.no_resume, a.think, a.out, report=a.report)
-    if a.report_only:
-        rows = results.read_json(spark, a.report_only).withColumnRenamed("answer_accuracy", "ok") if not _own(a.report_only) else _own_rows(spark, a.report_only)
-        if rows.isEmpty():
-            return fail("no results")
-        payload = report.collect_payload(rows)
-        for t in report.targets(a.report, a.backend, payload["summary"]["questions"]):
-            evaluate.emit(payload, f"{a.out}/{t}")
-        return 0
+    config = evaluate.Config(a.questions, a.question, names[0], a.model, a.k, a.max_tokens, a.temperature, not a.no_scores, "orm" if a.orm else "prm", a.four_bits, not a.no_resume, a.think, a.out, report=a.report, reports=not a.no_report)
+    if a.report_only is not None:
+        return _report_only(spark, a, fail)
     table = problems.load(spark, a.problems)
+    say = (lambda text: None) if a.quiet else print
     if a.compare:
-        found = evaluate.compare_backends(spark, table, [replace(config, backend=n, canonical=False) for n in names])
+        found = evaluate.compare_backends(spark, table, [replace(config, backend=n, canonical=False) for n in names], say=say)
         print("\n".join(f"{r['a']} / {r['b']}: {report.pct(r['agreement'])}" for r in found["agreement"]))
+        print(f"{found['num_divergences']} questions on which they differ")
         return 0
-    rows, about = evaluate.run(spark, table, config)
+    rows, about = evaluate.run(spark, table, config, say=say)
+    if not a.quiet:
+        evaluate.transcript(evaluate._all_samples(spark, config, config.fingerprint()), f"{a.out}/eval_debug_{config.backend}")
     evaluate.finish(rows, about, config)
     return 0
 
 
-def _own(path: str) -> bool:
-    """Written by this library (its rows have ``ok``)."""
-    with open(path) as f:
-        return '"ok"' in f.read(1 << 20)
-
+def _report_only(spark, a, fail) -> int:
+    """Reports from the named document, or from eval_results.json, or from those of all backends with their comparison."""
+    folder = Path(a.out)
+    usual = folder / "eval_results.json"
+    found = [Path(a.report_only)] if a.report_only else [usual] if usual.exists() else sorted(folder.glob("eval_results_*.json"))
+    if not found:
+        return fail(f"no results in {a.out}")
+    compared = results.read_comparison(str(folder / "eval_comparison.json")) if len(found) > 1 else None
+    for path in found:
+        rows = results.read_any(spark, str(path))
+        if rows.isEmpty():
+            return fail("no results")
+        stored = results.read_summary(str(path))
+        about = {k: v for k, v in (stored.get("summary") or stored).items() if k in _ABOUT}
+        payload = report.collect_payload(rows, about) | ({"comparison": report.shown_comparison(compared)} if compared else {})
+        backend = path.stem.removeprefix("eval_results_") if path.stem.startswith("eval_results_") else about.get("backend") or a.backend
+        for t in report.targets(a.report, backend, payload["summary"]["questions"], len(found) == 1):
+            evaluate.emit(payload, f"{a.out}/{t}")
+    return 0
 
-def _own_rows(spark, path: str):
-    from pyspark.sql import functions as F
 
-    fields = "index int, problem string, expected string, subject string, difficulty string, predicted string, matched boolean, ok boolean, milli bigint, tokens bigint, steps array<string>, step_scores array<double>"
-    whole = spark.read.schema(f"results array<struct<{fields.replace(', ', ',')}>>").option("multiLine", True).json(path)
-    return whole.select(F.explode("results").alias("r")).where("r is not null").select("r.*")
+#: What a report takes from a stored summary; all figures are made anew.
+_ABOUT = ("model", "backend", "k", "synthetic", "scorer_kind", "scorer_model", "duration_s", "timestamp")
 
 
 if __name__ == "__main__":

@@ -35,17 +35,16 @@ def drop_degrees(c: Column) -> Column:
 
 
 def flatten_subscripts(c: Column) -> Column:
-    return F.regexp_replace(c, latex.SUBSCRIPT, "_$1")
+    return F.regexp_replace(c, r"_\s*\{([^{}]*)\}", "_$1")
 
 
 def drop_ordinals(c: Column) -> Column:
-    return F.regexp_replace(c, latex.ORDINAL, "")
+    return F.regexp_replace(c, r"\^\s*+\{?\s*+(?:[rn]d|th|st)\s*\}?", "")
 
 
 def explicit_products(c: Column) -> Column:
-    for gap in latex.PRODUCTS:
-        c = F.regexp_replace(c, gap, "*")
-    return c
+    c = F.regexp_replace(c, r"(\d)(?=[A-Za-z(])(?![eE][-+]?\d)", "$1*")
+    return F.regexp_replace(c, r"\)(?=[A-Za-z0-9(])", ")*")
 
 
 def drop_final_dots(c: Column) -> Column:
@@ -62,7 +61,7 @@ def old_normal(c: Column) -> Column:
 
 def lone_grouping(c: Column) -> Column:
     """A lone number without the commas between its groups."""
-    whole = F.regexp_like(strip(c), F.lit(rf"^\$*{latex.ONE_GROUPED}$"))
+    whole = F.regexp_like(strip(c), F.lit(r"^\$*-?\d{1,3}(,\s*\d{3})+(\.\d+)?$"))
     return F.when(whole, F.regexp_replace(F.regexp_replace(strip(c), r"^\$+", ""), r",\s*(?=\d)", "")).otherwise(c)
 
 

@@ -49,5 +49,14 @@ def divergences(runs: DataFrame) -> DataFrame:
     return g.where("_lo <> _hi").drop("_lo", "_hi")
 
 
+def divergence_details(runs: DataFrame) -> DataFrame:
+    """(pos, index, problem, expected, subject, difficulty, outcomes, predicted, milli): the same with what each backend said, in maps by backend; the problem as the first one has it."""
+    ok = truth("ok")
+    by = lambda c: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "backend", c.alias("v")))), lambda s: F.struct(s["backend"], s["v"])))
+    about = [F.min_by(F.struct(c), "ord")[c].alias(c) for c in ("index", "problem", "expected", "subject", "difficulty")]
+    g = aligned(runs).groupBy("pos").agg(F.min(ok).alias("_lo"), F.max(ok).alias("_hi"), *about, by(ok).alias("outcomes"), by(F.col("predicted")).alias("predicted"), by(F.col("milli")).alias("milli"))
+    return g.where("_lo <> _hi").drop("_lo", "_hi")
+
+
 def top_divergences(runs: DataFrame, n: int = 40) -> DataFrame:
     return divergences(runs).orderBy("pos").limit(n)

@@ -12,15 +12,16 @@ import json
 import sys
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grading, runs, selection
+from ..operators import compare, grading, runs, selection
 from ..sources import generators, results, scorers
+from ..sources.problems import first
 from . import report
 
 
@@ -42,6 +43,7 @@ class Config:
     chunk: int = 1000
     report: str = "report.html"
     canonical: bool = True
+    reports: bool = True
 
     def heat(self) -> float:
         """Several samples of temperature 0 would be the same one."""
@@ -77,7 +79,8 @@ def headline(samples: DataFrame) -> DataFrame:
     """A result row for each question: the first sample's fields and the choice of every strategy."""
     chosen = selection.selections(selection.equivalence_classes(samples), "class")
     picks = chosen.groupBy("index").agg(F.map_from_entries(F.collect_list(F.struct("strategy", F.struct("predicted", F.col("ok").alias("correct"), "milli")))).alias("selection"))
-    counted = samples.groupBy("index").agg(F.count("*").cast("int").alias("k"))
+    told = [c for c in samples.columns if c not in ("index", "problem", "expected", "subject", "level", "text", "prompt", "started")]
+    counted = samples.groupBy("index").agg(F.count("*").cast("int").alias("k"), F.array_sort(F.collect_list(F.struct("sample_index", *[c for c in told if c != "sample_index"]))).alias("samples"))
     first = samples.where("sample_index = 0").withColumn("difficulty", F.col("level").cast("string")).drop("sample_index", "level", "text")
     return first.join(picks, "index").join(counted, "index")
 
@@ -89,7 +92,7 @@ def run(spark: SparkSession, problems: DataFrame, config: Config, generator=None
     began, fp, log = time.monotonic(), config.fingerprint(), results.Log(spark, config.log_root())
     if not config.resume:
         log.clear(fp)
-    wanted = problems.where(F.col("index") == config.question - 1) if config.question is not None else problems.where(F.col("index") < config.questions)
+    wanted = problems.where(F.col("index") == config.question - 1) if config.question is not None else first(problems, config.questions)
     done = log.rows(fp)
     todo = wanted if done is None or config.question is not None else runs.pending(wanted, done.select("index").distinct())
     chunks = [r[0] for r in todo.select(F.floor(F.col("index") / config.chunk).alias("c")).distinct().orderBy("c").collect()]
@@ -119,19 +122,44 @@ def _all_samples(spark: SparkSession, config: Config, fp: str) -> DataFrame:
     return df.groupBy("index", "sample_index").agg(F.max_by(row, "_chunk").alias("r")).select("index", "sample_index", "r.*").drop("_chunk")
 
 
+def transcript(samples: DataFrame, path: str) -> None:
+    """What was asked and said, as text files of one line a field; written by the tasks, so of any length."""
+    shown = [c for c in ("prompt", "text", "expected", "predicted", "ok", "milli", "tokens") if c in samples.columns]
+    parts = [F.concat(F.lit(f"  {c}: "), F.coalesce(F.regexp_replace(F.col(c).cast("string"), "\n", "\n    | "), F.lit("(none)"))) for c in shown]
+    head = F.format_string("question %d, sample %d", F.col("index") + 1, F.col("sample_index") + 1)
+    samples.select(F.concat_ws("\n", head, *parts).alias("value")).write.mode("overwrite").text(path)
+
+
+def merged(rows: DataFrame, config: Config) -> DataFrame:
+    """A single question's row put into the stored results of the run it belongs to, if there are any; written down, because these are replaced."""
+    stored = Path(config.out) / f"eval_results_{config.backend}.json"
+    if config.question is None or not stored.exists():
+        return rows
+    spark, table = rows.sparkSession, f"{config.log_root()}/merged={config.fingerprint()}"
+    runs.splice(results.read_own(spark, str(stored), rows.schema), rows, "index").write.mode("overwrite").parquet(table)
+    return spark.read.parquet(table)
+
+
 def finish(rows: DataFrame, about: dict, config: Config, samples: DataFrame | None = None, comparison: DataFrame | None = None, say: Callable[[str], None] = print) -> dict:
-    """Stores rows and summary, archives what was there, writes the reports that the size earns."""
+    """Stores rows and summary, archives what was there, writes the reports that the size earns.
+
+    A single question goes into the stored results.  The log of a run that is stored has served and
+    goes, so that the same run asks anew.
+    """
     out = Path(config.out)
     out.mkdir(parents=True, exist_ok=True)
+    rows = merged(rows, config)
     payload = report.collect_payload(rows, about, samples, comparison)
     name = f"eval_results_{config.backend}.json"
     n = payload["summary"]["questions"]
     pages = [str(out / t) for t in report.targets(config.report, config.backend, n, config.canonical)]
     results.archive(str(out / "logs"), datetime.now().strftime("%Y%m%d_%H%M%S"), str(out / name), *pages)
     results.write_json({k: v for k, v in payload.items() if k != "questions"}, rows, str(out / name))
-    for page in pages:
+    for page in pages if config.reports else []:
         emit(payload, page)
     say(summary_text(payload))
+    if config.question is None:
+        results.Log(rows.sparkSession, config.log_root()).clear(config.fingerprint())
     return payload
 
 
@@ -154,16 +182,32 @@ def summary_text(payload: dict) -> str:
 
 
 def compare_backends(spark: SparkSession, problems: DataFrame, configs: list[Config], made: dict | None = None, say: Callable[[str], None] = print) -> dict:
-    """Runs each configuration on the same problems and compares them by position; ``made`` has generators by backend."""
+    """Runs each configuration on the same problems and compares them by position; ``made`` has generators by backend.
+
+    Writes each one's results, eval_comparison.json over all, and a report for each with the comparison in it.
+    """
     if len(configs) < 2:
         raise ValueError("a comparison needs two backends")
-    long = None
+    long, finished = None, []
     for n, config in enumerate(configs):
         rows, about = run(spark, problems, config, (made or {}).get(config.backend), say=say)
-        finish(rows, about, config, say=say)
-        one = rows.select(F.lit(config.backend).alias("backend"), F.lit(n).alias("ord"), "index", "ok")
+        payload = finish(rows, about, replace(config, reports=False), say=say)
+        finished.append((config, rows, about, payload["summary"]))
+        one = rows.select(F.lit(config.backend).alias("backend"), F.lit(n).alias("ord"), "index", "ok", "predicted", "milli", "problem", "expected", "subject", "difficulty")
         long = one if long is None else long.unionByName(one)
-    from ..operators import compare
-
-    aligned = compare.positions(long, "index")
-    return {"accuracy": report._dicts(compare.accuracy(aligned)), "agreement": report._dicts(compare.agreement(aligned)), "divergences": report._dicts(compare.top_divergences(aligned))}
+    table = f"{configs[0].log_root()}/compared"
+    compare.positions(long, "index").write.mode("overwrite").parquet(table)
+    aligned = spark.read.parquet(table)
+    details = compare.divergence_details(aligned)
+    found = {
+        "backends": [c.backend for c in configs], "accuracy": report._dicts(compare.accuracy(aligned)), "agreement": report._dicts(compare.agreement(aligned)), "num_divergences": details.count(),
+        "summaries": {c.backend: s for c, _, _, s in finished}, "results_files": {c.backend: f"eval_results_{c.backend}.json" for c in configs},
+        "report_files": {c.backend: report.targets(c.report, c.backend, s["questions"], False) for c, _, _, s in finished}, "timestamp": datetime.now().isoformat(timespec="seconds"),
+    }
+    results.write_json(found, details.orderBy("pos"), str(Path(configs[0].out) / "eval_comparison.json"), "divergences")
+    found["divergences"] = report._dicts(compare.top_divergences(aligned))
+    for config, rows, about, _ in finished if configs[0].reports else []:
+        payload = report.collect_payload(rows, about) | {"comparison": found}
+        for page in found["report_files"][config.backend]:
+            emit(payload, str(Path(config.out) / page))
+    return found

@@ -192,6 +192,13 @@ def comparison_section(c: dict | None) -> str:
     return _section("Comparison", f"<table>{a}</table><h3>Agreement</h3><table>{g}</table><h3>Where they differ</h3><table><tr><th>position</th><th>right</th><th>wrong</th></tr>{d}</table>")
 
 
+def shown_comparison(stored: dict, most: int = 40) -> dict:
+    """A stored comparison as the section wants it: the first divergences, with who was right."""
+    named = lambda d, want: ",".join(b for b, ok in d["outcomes"].items() if ok == want)
+    first = stored.get("divergences", [])[:most]
+    return stored | {"divergences": [{"pos": d["pos"], "right": named(d, True), "wrong": named(d, False)} for d in first]}
+
+
 def questions_section(rows: list[dict], of: int | None = None) -> str:
     out = [f"<p>The first {len(rows)} of {of}.</p>"] if of is not None and of > len(rows) else []
     for r in rows:

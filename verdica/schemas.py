@@ -17,3 +17,8 @@ RESULT = (
     f"selection map<string,{_nested(CHOICE)}>, samples array<{_nested(SAMPLE)}>, {SAMPLE}"
 )
 GENERATION = "text string, prompt_tokens int, eval_tokens int, total_tokens int, warning string"
+OWN = (
+    "index int, problem string, expected string, subject string, difficulty string, predicted string, matched boolean, ok boolean, milli bigint, tokens bigint, "
+    "steps array<string>, step_scores array<double>, k int, selection map<string,struct<predicted:string,correct:boolean,milli:bigint>>, "
+    "samples array<struct<sample_index:int,predicted:string,matched:boolean,ok:boolean,milli:bigint,tokens:bigint,steps:array<string>,step_scores:array<double>>>"
+)

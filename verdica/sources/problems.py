@@ -17,9 +17,21 @@ def from_table(rows: DataFrame, key: str, problem: str, answer, subject=None, le
     )
 
 
+def first(rows: DataFrame, n: int) -> DataFrame:
+    """The first n problems by index, which may have gaps."""
+    last = rows.select("index").orderBy("index").limit(n).agg(F.max("index")).first()[0]
+    return rows.where(F.col("index") <= last) if last is not None else rows.where("false")
+
+
 def load(spark: SparkSession, path: str, limit: int | None = None, question: int | None = None) -> DataFrame:
-    """A stored problem set: the first ``limit`` by index, or the one question (from 1)."""
-    rows = spark.read.parquet(path)
+    """A stored problem set (Parquet, or JSON lines): the first ``limit`` by index, or the one question (from 1).
+
+    Rows without an index are counted in the order of their ids.
+    """
+    rows = spark.read.schema("index int, unique_id string, problem string, answer string, subject string, level int").json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    if "index" not in rows.columns or ("unique_id" in rows.columns and rows.where("index is not null").isEmpty()):
+        key = "unique_id" if "unique_id" in rows.columns else "problem"
+        rows = from_table(rows, key, "problem", "answer", "subject", "level")
     if question is not None:
         return rows.where(F.col("index") == question - 1)
-    return rows if limit is None else rows.where(F.col("index") < limit)
+    return rows if limit is None else first(rows, limit)

@@ -24,6 +24,42 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pos", F.coalesce("r.index", "pos").alias("index"), *[f"r.{n}" for n in names], backend.alias("backend"))
 
 
+def read_own(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a document that ``write_json`` made; their fields are those of ``schema`` or the usual ones."""
+    fields = schema or T.StructType.fromDDL(schemas.OWN)
+    document = T.StructType([T.StructField("results", T.ArrayType(fields))])
+    whole = spark.read.schema(document).option("multiLine", True).json(path)
+    return whole.select(F.explode("results").alias("r")).where("r is not null").select("r.*")
+
+
+def is_own(path: str) -> bool:
+    """Written by this library (its rows have ``ok``)?"""
+    with open(path) as f:
+        return '"ok"' in f.read(1 << 20)
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of either kind of document, by the names of this library."""
+    if is_own(path):
+        return read_own(spark, path)
+    older = {"answer_accuracy": "ok", "parse_matched": "matched", "eval_tokens": "tokens", "step_prm_scores": "step_scores"}
+    return read_json(spark, path).withColumnsRenamed(older).withColumn("milli", F.round(F.col("prm_score") * 1000).cast("bigint"))
+
+
+def read_summary(path: str) -> dict:
+    """What a document says beside its rows."""
+    with open(path) as f:
+        return {k: v for k, v in json.load(f).items() if k not in ("results", "divergences")}
+
+
+def read_comparison(path: str) -> dict | None:
+    """A stored comparison with its divergences, None where there is none."""
+    if not os.path.exists(path):
+        return None
+    with open(path) as f:
+        return json.load(f)
+
+
 def checkpoint_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) of a text log; positions grow along the file."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
@@ -91,14 +127,17 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def write_json(summary: dict, rows: DataFrame, path: str) -> None:
-    """One document with all rows, for readers of that format; the rows pass one by one."""
+def write_json(summary: dict, rows: DataFrame, path: str, key: str = "results") -> None:
+    """One document with all rows, for readers of that format; the rows pass one by one.
+
+    A table of any size goes to ``write_table``; this is for what a reader of one file can hold.
+    """
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     draft = target.with_name(target.name + ".part")
     with draft.open("w") as f:
         head = json.dumps(summary, indent=2, default=str)
-        f.write(head[:-2].rstrip() + (",\n" if summary else "\n") + '  "results": [')
+        f.write(head[:-2].rstrip() + (",\n" if summary else "\n") + f'  "{key}": [')
         for n, row in enumerate(rows.select(F.to_json(F.struct("*"))).toLocalIterator()):
             f.write((",\n    " if n else "\n    ") + row[0])
         f.write("\n  ]\n}\n")
