@@ -18,15 +18,22 @@ def positions(rows: DataFrame, key: str, backend: str = "backend", range_rows: i
     return number(rows, key, "pos", backend, range_rows)
 
 
-def aligned(runs: DataFrame) -> DataFrame:
-    """The rows of the positions that all backends have, up to the end of the shortest run."""
-    ends = runs.groupBy("backend").agg(F.count("*").alias("n")).agg(F.min("n").alias("_n"))
-    return runs.crossJoin(F.broadcast(ends)).where("pos < _n").drop("_n")
+def _at(runs: DataFrame, *more: str) -> DataFrame:
+    """(pos, them): the rows of each position that all backends have, by their order.
+
+    Positions count from 0 within each backend, so those that all have are those as wide as the
+    widest, and one shuffle by position serves both questions.
+    """
+    fields = F.struct("ord", "backend", truth("ok").alias("ok"), *more)
+    at = runs.groupBy("pos").agg(F.array_sort(F.collect_list(fields)).alias("them"))
+    widest = at.agg(F.max(F.size("them")).alias("_most"))
+    return at.join(F.broadcast(widest), F.size("them") == F.col("_most")).drop("_most")
 
 
 def accuracy(runs: DataFrame) -> DataFrame:
-    right = F.count_if(truth("ok"))
-    return aligned(runs).groupBy("backend").agg(right.alias("correct"), F.count("*").alias("total"), (right / F.count("*")).alias("accuracy"))
+    right = F.count_if("x.ok")
+    each = _at(runs).select(F.explode("them").alias("x"))
+    return each.groupBy(F.col("x.backend").alias("backend")).agg(right.alias("correct"), F.count("*").alias("total"), (right / F.count("*")).alias("accuracy"))
 
 
 def agreement(runs: DataFrame) -> DataFrame:
@@ -35,27 +42,27 @@ def agreement(runs: DataFrame) -> DataFrame:
     The outcomes of a position are gathered once and paired within the row, so the number
     of shuffles doesn't grow with the number of backends.
     """
-    at = aligned(runs).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("ord", "backend", truth("ok").alias("ok")))).alias("them"))
-    x = at.select(F.explode("them").alias("x"), "them").select("x", F.explode("them").alias("y")).where("x.ord < y.ord")
+    x = _at(runs).select(F.explode("them").alias("x"), "them").select("x", F.explode("them").alias("y")).where("x.ord < y.ord")
     same = F.count_if(F.col("x.ok") == F.col("y.ok"))
     return x.groupBy(F.col("x.backend").alias("a"), F.col("y.backend").alias("b")).agg(same.alias("agree"), F.count("*").alias("total"), (same / F.count("*")).alias("agreement"))
 
 
+def _differ(at: DataFrame) -> DataFrame:
+    return at.where(F.exists("them", lambda t: t["ok"]) & F.exists("them", lambda t: ~t["ok"]))
+
+
 def divergences(runs: DataFrame) -> DataFrame:
     """(pos, index, right, wrong): positions where outcomes differ, and who had which, by backend order."""
-    ok = truth("ok")
-    names = lambda want: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok == want, F.struct("ord", "backend")))), lambda s: s["backend"]), ",")
-    g = aligned(runs).groupBy("pos").agg(F.min_by("index", "ord").alias("index"), F.min(ok).alias("_lo"), F.max(ok).alias("_hi"), names(True).alias("right"), names(False).alias("wrong"))
-    return g.where("_lo <> _hi").drop("_lo", "_hi")
+    names = lambda want: F.array_join(F.transform(F.filter("them", lambda t: t["ok"] == want), lambda t: t["backend"]), ",")
+    return _differ(_at(runs, "index")).select("pos", F.col("them")[0]["index"].alias("index"), names(True).alias("right"), names(False).alias("wrong"))
 
 
 def divergence_details(runs: DataFrame) -> DataFrame:
     """(pos, index, problem, expected, subject, difficulty, outcomes, predicted, milli): the same with what each backend said, in maps by backend; the problem as the first one has it."""
-    ok = truth("ok")
-    by = lambda c: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "backend", c.alias("v")))), lambda s: F.struct(s["backend"], s["v"])))
-    about = [F.min_by(F.struct(c), "ord")[c].alias(c) for c in ("index", "problem", "expected", "subject", "difficulty")]
-    g = aligned(runs).groupBy("pos").agg(F.min(ok).alias("_lo"), F.max(ok).alias("_hi"), *about, by(ok).alias("outcomes"), by(F.col("predicted")).alias("predicted"), by(F.col("milli")).alias("milli"))
-    return g.where("_lo <> _hi").drop("_lo", "_hi")
+    by = lambda c: F.map_from_entries(F.transform("them", lambda t: F.struct(t["backend"], t[c])))
+    about = ("index", "problem", "expected", "subject", "difficulty")
+    found = _differ(_at(runs, *about, "predicted", "milli"))
+    return found.select("pos", *[F.col("them")[0][c].alias(c) for c in about], by("ok").alias("outcomes"), by("predicted").alias("predicted"), by("milli").alias("milli"))
 
 
 def top_divergences(runs: DataFrame, n: int = 40) -> DataFrame:

@@ -29,6 +29,9 @@ def bounds(rows: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> list:
 def number(rows: DataFrame, key: str, into: str, within: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with their place by the key (nulls first), from 0, among all or among those of equal ``within``."""
     cuts = bounds(rows, key, range_rows)
+    if not cuts:  # one range: nothing comes before it
+        whole = Window.partitionBy(*([within] if within else [F.lit(0)])).orderBy(F.asc_nulls_first(key))
+        return rows.select("*", (F.row_number().over(whole) - 1).cast("bigint").alias(into))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(key))) if cuts else F.lit(0)
     ranged = rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(place))
     group = [within] if within else []

@@ -180,14 +180,31 @@ def verdict(low: Column, high: Column, n_right: Column, n_wrong: Column) -> Colu
 
 
 def calibration(rows: DataFrame, milli: str = "milli", ok: str = "ok", bins: int = 10) -> DataFrame:
-    """All calibration figures in one row."""
-    one = auc_with_interval(rows, milli, ok)
-    block = one.crossJoin(pearson(rows, milli, ok)).crossJoin(class_means(rows, milli, ok)).crossJoin(expected_calibration_error(rows, milli, ok, bins))
-    right, wrong = F.col("n_right"), F.col("n_wrong")
+    """All calibration figures in one row, from one pass: the rows by score, these by bin, and the bins' sums."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    x, p, n = F.col("milli"), F.col("right"), F.col("wrong")
+    below = F.coalesce(F.sum("wrong").over(_one_partition("milli").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.least(F.greatest(x, F.lit(0)), F.lit(1000))
+    each = by_score(rows, milli, ok).withColumn("wins", wide(p) * wide(2 * below + n))
+    sums = {"right": p, "wrong": n, "wins": F.col("wins"), "sx": x * (p + n), "sxx": wide(x * x) * wide(p + n), "sxy": x * p, "sxn": x * n, "clipped": inside * (p + n)}
+    per_bin = each.groupBy(bin_of(x, bins).alias("bin")).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    size = p + n
+    far = size * F.abs(p / size - F.col("clipped") / size / 1000)
+    one = per_bin.agg(*[F.sum(c).cast("double").alias(c) for c in ("wins", "sx", "sxx", "sxy", "sxn")], F.coalesce(F.sum("right"), F.lit(0)).alias("n_right"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_wrong"), (F.sum(far) / F.sum(size)).alias("ece"))
+    right, wrong, count = F.col("n_right"), F.col("n_wrong"), (F.col("n_right") + F.col("n_wrong")).cast("double")
+    spread = F.sqrt(count * F.col("sxx") - F.col("sx") * F.col("sx")) * F.sqrt(count * right - right.cast("double") * right)
+    one = one.withColumns({
+        "auc": F.col("wins") / F.nullif(2.0 * right * wrong, F.lit(0.0)),
+        "r": F.when(count >= 2, (count * F.col("sxy") - F.col("sx") * right) / F.nullif(spread, F.lit(0.0))),
+        "mean_correct": F.col("sxy") / F.nullif(right, F.lit(0)) / 1000, "mean_incorrect": F.col("sxn") / F.nullif(wrong, F.lit(0)) / 1000,
+    })
+    low, high = auc_interval(F.col("auc"), right, wrong)
+    one = one.withColumns({"ci_low": low, "ci_high": high})
     low, high = F.col("ci_low"), F.col("ci_high")
-    return block.select(
+    return one.select(
         (right + wrong).alias("n"), "n_right", "n_wrong", "auc", "ci_low", "ci_high", verdict(low, high, right, wrong).alias("beats_chance"),
-        F.when(low > 0.5, "above").when(high < 0.5, "below").when(low.isNotNull(), "unclear").alias("direction"), "r", "mean_correct", "mean_incorrect", "separation", "ece",
+        F.when(low > 0.5, "above").when(high < 0.5, "below").when(low.isNotNull(), "unclear").alias("direction"), "r", "mean_correct", "mean_incorrect",
+        (F.col("mean_correct") - F.col("mean_incorrect")).alias("separation"), "ece",
     )
 
 

@@ -513,6 +513,22 @@ def grade_surds(spark, d):
     return grading.grade(rows).select("p_partkey", "ok")
 
 
+@query("select p_partkey, case p_partkey % 8 when 6 then false when 7 then p_partkey % 3 = 0 else true end as ok from part")
+def grade_identities(spark, d):
+    """Answers that are equal as functions only: trigonometry, powers of one base, high powers, roots, factorials."""
+    s, t, k = F.col("p_size").cast("string"), (F.col("p_partkey") % 12 + 1).cast("string"), F.col("p_partkey") % 8
+    c = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    high, more = (F.col("p_size") + 30).cast("string"), (F.col("p_size") + 31).cast("string")
+    sides = [
+        (c("\\sin(", s, "x)^2+\\cos(", s, "x)^2"), F.lit("1")), (c("\\sin(", (F.col("p_size") * 2).cast("string"), "y)"), c("2\\sin(", s, "y)\\cos(", s, "y)")),
+        (c("2^{", s, "x}*2^{", t, "x}"), c("2^{", (F.col("p_size") + F.col("p_partkey") % 12 + 1).cast("string"), "x}")), (c("x^{", high, "}"), c("x*x^{", (F.col("p_size") + 29).cast("string"), "}")),
+        (c("(x+", s, ")^{25}"), c("(", s, "+x)^{25}")), (c("\\sqrt{x+", s, "}^2"), c("x+", s)), (c("x^{", high, "}"), c("x^{", more, "}")),
+        (c((F.col("p_partkey") % 10 + 1).cast("string"), "!"), (F.factorial((F.col("p_partkey") % 10 + 1).cast("int")) + F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(1)).cast("string")),
+    ]
+    pick = lambda side: F.element_at(F.array(*[x[side] for x in sides]), (k + 1).cast("int"))
+    return grading.grade(T.read(spark, d, "part").select("p_partkey", pick(0).alias("expected"), pick(1).alias("predicted"))).select("p_partkey", "ok")
+
+
 @query("select p_partkey, p_size::double / (p_partkey % 12 + 1) as value from part")
 def parse_number(spark, d):
     return T.answer_pairs(spark, d).select("p_partkey", C.number("expected").alias("value"))
